@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import html_text, mixing, quality, token_count, token_file
+from threadloom.llm import html_text, mixing, ngram_join, quality, token_count, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_token_file": token_file.op2_token_file,
         "op3_html_text": html_text.op3_html_text,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_mix": mixing.op5_mix,
         "op6_token_counts": token_count.op6_token_counts,
     }
