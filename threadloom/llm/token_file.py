@@ -7,8 +7,8 @@ metadata alone touches only those pages. Rows are in ascending (doc_id, text) or
 document's place in the whole stream is its part's base (the tokens of all earlier parts, one row per part,
 from the metadata column alone) plus local_start.
 
-Words between ASCII white space are encoded once and kept, up to a limit: this vocabulary's normaliser and
-splitter drop white space and never look across it.
+Pieces of words are encoded once and kept, up to a limit: this vocabulary's splitter drops white space and never
+looks across it.
 
 Cases: null or empty text is the end id alone. Null doc_id comes first. Repeated rows keep one entry each.
 An empty table writes an empty file. Metadata columns must not be named as the columns above (an error).
@@ -17,6 +17,7 @@ An empty table writes an empty file. Metadata columns must not be named as the c
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -43,24 +44,58 @@ LAYOUT = {
 COLUMNS = ("doc_id", "part", "local_start", "n_tokens", "ids")
 
 
-class WordEncoder(dict):
-    """Word -> its ids as little-endian 32-bit bytes."""
+#: Texts that lower-casing is all the normaliser does to, and the splitter's pieces in them.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
-    def __init__(self, path: str):
+
+def _byte_letters() -> list[str]:
+    """Letter of each byte in byte-level vocabularies: printable Latin-1 as itself, the rest from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class _Kept(dict):
+    """Key -> ids as little-endian 32-bit bytes, made by `make` when first asked for."""
+
+    def __init__(self, make):
         super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        got = self[key] = np.array(self.make(key), "<u4").tobytes()
+        return got
+
+
+class WordEncoder:
+    """Ids of texts as little-endian 32-bit bytes; each piece is encoded once and kept.
+
+    In a text of ASCII and Latin-1 letters the splitter's pieces are found here and given to the merging model;
+    other texts go to the library word by word, and those that might hold a special string, which the library
+    matches before it normalises, go to it whole.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        got = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return got
+        tokenizer = Tokenizer.from_file(path)
+        model, letters = tokenizer.model, _byte_letters()
+        self.special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.I)
+        self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.words = _Kept(self.whole)
+        self.pieces = _Kept(lambda p: [t.id for t in model.tokenize(p if p.isascii() else "".join(letters[b] for b in p.encode()))])
 
     def encode(self, text: str) -> bytes:
-        if len(self) > MOST_KEPT:
-            self.clear()
-        return b"".join(map(self.__getitem__, common.words_of(text)))
+        for kept in (self.words, self.pieces):
+            if len(kept) > MOST_KEPT:
+                kept.clear()
+        if "<" in text and self.special.search(text):
+            return np.array(self.whole(text), "<u4").tobytes()
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, common.words_of(text)))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
