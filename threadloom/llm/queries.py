@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import decontaminate, html_text, line_dedup, mixing, ngram_join, quality, token_count, token_file, toxicity
+from threadloom.llm import decontaminate, html_text, line_dedup, media, mixing, ngram_join, quality, token_count, token_file, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_mix": mixing.op5_mix,
         "op6_token_counts": token_count.op6_token_counts,
+        "op7_media": media.op7_media,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
