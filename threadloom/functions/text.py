@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The words that topic mining leaves out, by language.
 ENGLISH = (
@@ -32,7 +33,7 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_fold(text: pd.Series) -> pd.Series:
     """NFKC, then full case folding; for text that `fold` does not cover."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
