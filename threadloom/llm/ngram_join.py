@@ -5,18 +5,18 @@ n-gram order. That order is cut vertically into fragments. Two uses:
 
 * Candidates. Documents that link differ in at most 3/37 of the sum of their set sizes. Cut into more
   fragments than that, a linked pair has a fragment in which both sets are the same. So each document emits
-  one signature per non-empty fragment (about a sixth as many as shingles) and candidates share one. A
-  passage that many documents share falls into fragments with other shingles and makes no candidates, so no
-  frequency counts are needed. Sizes are dealt into classes (the larger partner's class decides the number of
-  fragments); where so many fragments are empty that the agreeing ones could all be, the document also emits
-  signatures under another order, and after three orders one for being empty. No link can be lost.
+  one signature per non-empty fragment (about a sixth as many as shingles) and candidates share one. A passage
+  that some documents share mostly falls into fragments with other shingles, so no frequency counts are needed.
+  Sizes are dealt into classes (the larger partner's class decides the number of fragments); where so many
+  fragments are empty that the agreeing ones could all be, the document also emits signatures under another
+  order, and after three orders one for being empty. No link can be lost.
 * Counting. Candidates' sets are cut into four fragments; partial overlaps are counted per fragment and
   summed per pair, and 100 * intersection >= 85 * union decides.
 
-Equal sets are one node from the start. In a block of equal signatures every node is first compared with
-the smallest one; what that links is contracted, and then all pairs across different components of a block
-are compared, so a large group of near copies costs as many comparisons as it has members, not its square.
-Distances to a block's smallest node also rule pairs out (Jaccard distance is a metric).
+Equal sets are one node from the start. In a block of equal signatures every node is first compared with its
+most central one (found in most blocks); what that links is contracted, and then all pairs across different
+components that share such a head are compared, if their bitmaps leave it possible. So a large group of near
+copies costs about as many comparisons as it has members.
 
 Cases: fewer than four words: the whole sequence is one shingle. Null text, or one without words: empty set,
 a component of its own, no links. Null doc_id: such rows are kept, linked with nothing (component null).
@@ -36,6 +36,8 @@ from threadloom.llm import common
 PERCENT = 85
 FRAGMENTS = 4
 ORDERS = 3
+#: 64-bit words of a set's bitmap.
+BITMAP = 32
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,18 +162,21 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sets of the wanted documents, cut into fragments: doc_id, d1, frag, members."""
+    """Sets of the wanted documents, cut into fragments: doc_id, d1, frag, members; with the first also a bitmap of the whole set."""
 
     def run(batch: pa.RecordBatch):
         for part in common.rows_of(batch, 256):
             sets, ids = shingle_sets(common.texts(part)), part.column(0).to_pylist()
-            doc, dig, frag, members = [], [], [], []
+            doc, dig, frag, members, maps = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for i, s in zip(ids, sets, strict=True):
                     if not len(s):
                         continue
                     d = int(np.array([np.add.reduce(mix(s ^ _M2))], np.uint64).view(np.int64)[0])
                     cuts = np.searchsorted(s, [np.uint64(k << 62) for k in range(1, FRAGMENTS)])
+                    bits = np.zeros(BITMAP * 64, np.uint8)
+                    bits[(mix(s + _M1) >> np.uint64(32)) % np.uint64(BITMAP * 64)] = 1
+                    maps += [np.packbits(bits).view(np.int64).tolist(), *[None] * (FRAGMENTS - 1)]
                     for k, x in enumerate(np.split(s, cuts)):
                         doc.append(i)
                         dig.append(d)
@@ -179,10 +184,10 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         members.append(x.view(np.int64))
             edges = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
             flat = np.concatenate(members) if members else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(dig, pa.int64()), pa.array(frag, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], ["doc_id", "d1", "frag", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(dig, pa.int64()), pa.array(frag, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "d1", "frag", "members", "bits"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    return common.map_batches(some, run, "doc_id long, d1 long, frag int, members array<long>").dropDuplicates(["doc_id", "d1", "frag"])
+    return common.map_batches(some, run, "doc_id long, d1 long, frag int, members array<long>, bits array<long>").dropDuplicates(["doc_id", "d1", "frag"])
 
 
 def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -211,35 +216,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = common.written(blocks.join(reps, "doc_id").select("sig", "rep", "n").distinct(), "jaccard-members")
     common.drop_written(sets, blocks)
 
+    # The head of a block is the member that most blocks hold: the original of a group rather than an edited copy.
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-    first = members.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("p"), F.max("rep").alias("z")).where("p.rep < z").select("sig", F.col("p.rep").alias("a"), F.col("p.n").alias("na"))
-    pairs = common.written(members.join(first, "sig").where("rep > a").where(near(F.col("n"), F.col("na"))).select("a", F.col("rep").alias("b")).distinct(), "jaccard-pairs")
-    wanted = members.join(members.groupBy("sig").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("sig"), "sig", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    segments = common.written(_segments(docs, wanted), "jaccard-fragments")
+    central = members.groupBy("rep").agg(F.count("*").alias("blocks"))
+    heads = members.join(central, "rep").groupBy("sig").agg(F.min(F.struct((-F.col("blocks")).alias("k"), "rep", "n")).alias("p"))
+    stars = common.written(members.join(heads, "sig").select(F.col("p.rep").alias("p"), F.col("p.n").alias("np"), "rep", "n").distinct(), "jaccard-stars")
+    common.drop_written(members)
+    pairs = common.written(stars.where("rep <> p").where(near(F.col("n"), F.col("np"))).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct(), "jaccard-pairs")
+    segments = common.written(_segments(docs, stars.where("rep <> p").select(F.explode(F.array("p", "rep")).alias("doc_id")).distinct()), "jaccard-fragments")
     checked = common.written(_verified(pairs, segments), "jaccard-checked")
     links = checked.where(F.col("shared") * 100 >= F.col("joined") * PERCENT).select("a", "b")
     ids = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
     links = links.unionByName(reps.join(ids, "doc_id").where("rep > a").select("a", F.col("rep").alias("b")))  # texts of one doc_id
     found = common.components(links, "jaccard-first")
 
-    # All pairs across components that a block still holds.
+    # All pairs across components that share a head. Two sets differ in at least as many members as their bitmaps
+    # do in bits, which rules most out where the pair is made.
     label = found.select(F.col("node").alias("rep"), "component")
-    placed = members.join(label, "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    open_ = placed.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("rep").alias("p")).where("x < y").select("sig", "p")
-    far = checked.select(F.col("a").alias("p"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("joined")).alias("d"))
-    rest = placed.join(open_, "sig").join(far, ["p", "rep"], "left").withColumn("d", F.when(F.col("p") == F.col("rep"), 0.0).otherwise(F.col("d")))
-    rest = common.written(rest.select("sig", "rep", "n", "c", "d"), "jaccard-open")
-    one = rest.select("sig", *[F.col(x).alias(f"{x}1") for x in ("rep", "n", "c", "d")])
-    two = rest.select("sig", *[F.col(x).alias(f"{x}2") for x in ("rep", "n", "c", "d")])
-    apart = (100 - PERCENT) / 100 + 1e-9
-    cross = one.join(two, "sig").where("rep1 < rep2 and c1 <> c2").where(near(F.col("n1"), F.col("n2")))
-    cross = cross.where(F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= apart, F.lit(True)))
+    placed = stars.select("p", "rep", "n").join(label, "rep", "left").select("p", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    open_ = placed.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("p")
+    maps = segments.where("frag = 0").groupBy("doc_id").agg(F.count("*").alias("k"), F.first("bits").alias("bits")).where("k = 1").select(F.col("doc_id").alias("rep"), "bits")
+    rest = placed.join(open_, "p", "left_semi").join(maps, "rep", "left")
+    rest = common.written(rest.select("p", "rep", "n", "c", *[F.col("bits")[k].alias(f"b{k}_") for k in range(BITMAP)]), "jaccard-open")
+    one, two = (rest.select("p", *[F.col(x).alias(f"{x}{side}") for x in rest.columns if x != "p"]) for side in (1, 2))
+    differ = sum((F.bit_count(F.col(f"b{k}_1").bitwiseXOR(F.col(f"b{k}_2"))) for k in range(1, BITMAP)), F.bit_count(F.col("b0_1").bitwiseXOR(F.col("b0_2"))))
+    cross = one.join(two, "p").where("rep1 < rep2 and c1 <> c2").where(near(F.col("n1"), F.col("n2")))
+    cross = cross.where(F.coalesce(differ * (100 + PERCENT) <= (F.col("n1") + F.col("n2")) * (100 - PERCENT), F.lit(True)))
     cross = cross.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = common.written(_verified(common.written(cross, "jaccard-cross"), segments), "jaccard-more")
     more = more.where(F.col("shared") * 100 >= F.col("joined") * PERCENT).select("a", "b")
     if not more.isEmpty():
         found = common.components(links.unionByName(more), "jaccard-all")
-    common.drop_written(segments, members, rest, checked, pairs)
+    common.drop_written(segments, stars, rest, checked, pairs)
 
     label = found.select(F.col("node").alias("rep"), "component")
     same = nodes.where("rep is not null").select("doc_id", "rep").join(label, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
