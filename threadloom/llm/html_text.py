@@ -35,6 +35,8 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
+#: What is left out inside an article parts it little, so that its end is not lost behind an advert.
+WITHIN, HOLDS = -0.1, 2.0
 _EVENT = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S
 )
@@ -55,7 +57,7 @@ def features(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def events(page: str):
-    """('word-run', text, context) / ('tag', name, is_block); context is the tuple of features of all open elements."""
+    """('text', text, context) / ('tag', name, (is_block, context)); context is the tuple of features of all open elements."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     context: tuple[str, ...] = ()
     at, n = 0, len(page)
@@ -78,7 +80,7 @@ def events(page: str):
         if not closing and tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-            yield "tag", tag, True
+            yield "tag", tag, (True, context)
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
@@ -100,7 +102,7 @@ def events(page: str):
                 own = ("<header> within", *own[1:])
             context = (*context, *(f for f in own if f not in context))
             stack.append((tag, context))
-        yield "tag", tag, tag in BLOCK
+        yield "tag", tag, (tag in BLOCK, context)
 
 
 class Weights:
@@ -120,6 +122,10 @@ class Weights:
             got = self.kept[context] = max(-8.0, min(1.0, self.base + min(1.0, sum(x for x in each if x > 0)) + sum(x for x in each if x < 0)))
         return got
 
+    def within(self, context: tuple[str, ...]) -> bool:
+        """Whether an element around speaks strongly for main text."""
+        return any(self.words.get(f, 0.0) >= HOLDS for f in context if f[:1] == "." or f in ("<article>", "<main>"))
+
     def of_tag(self, tag: str) -> float:
         return self.tags.get(tag, self.tag_default)
 
@@ -203,8 +209,8 @@ def extract(page: str, weights: Weights | None = None) -> str:
     kept: list[tuple[str, float] | None] = []  # text with its words' score; None: a block begins or ends
     for kind, value, extra in events(page):
         if kind == "tag":
-            running += weights.of_tag(value)
-            if extra:
+            running += max(weights.of_tag(value), WITHIN) if weights.within(extra[1]) else weights.of_tag(value)
+            if extra[0]:
                 kept.append(None)
         else:
             n = len(value.split())
@@ -214,7 +220,7 @@ def extract(page: str, weights: Weights | None = None) -> str:
                 continue
             if score > 0 and running <= 0:
                 running, first = 0.0, len(kept) - 1
-            running += n * score
+            running += n * (max(score, WITHIN) if score < 0 and weights.within(extra) else score)
             if running > best:
                 best, begin, end = running, first, len(kept)
         if running < 0:
