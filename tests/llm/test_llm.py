@@ -274,6 +274,24 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert decontaminate.hits(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_looks_behind_a_decoy(spark):
+    rng = random.Random(12)
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    items, texts = [], []
+    for k in range(20):
+        question, answer = words(f"q{k}x", 40 + k % 8), words(f"a{k}x", 8)
+        items.append((k, " ".join(question) + ". " + " ".join(answer) + "."))
+        decoy = question + rng.sample(answer, 8)  # every word of the item inside one passage, its answer in another order
+        apart = words(f"f{k}x", 384 - len(decoy) + 16 + k % 8)  # the item then lies across the borders of passages
+        texts += [" ".join(decoy + apart + question + answer), " ".join(decoy + apart), " ".join(apart + question + answer + apart + decoy)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, i // 3) for i in range(len(texts)) if i % 3 != 1}
+    found = decontaminate.hits(docs(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want)
+    assert all(r["first_word"] >= 350 for r in found)
+    assert {r["doc_id"] for r in decontaminate.clean(docs(spark, texts), bench).collect()} == {i for i in range(len(texts)) if i % 3 == 1}
+
+
 def test_block_max_wand_is_exact():
     rng = random.Random(10)
     items = [(i, " ".join(f"t{int(rng.paretovariate(0.6)) % 80}" for _ in range(30))) for i in range(150)]

@@ -7,7 +7,7 @@ for all items. Retrieval keeps every item above the threshold, by block-max WAND
 item, find the pivot where list maxima reach the threshold, test block maxima, score or skip. Before that
 loop WAND's own bound (the sum of maxima over the query's words) is evaluated for a whole batch at once,
 first over the index, then per range of items and over the query's distinct words; no passage that could hold an item is passed over.
-What is retrieved is verified: the words of the item's question and of its answer that lie in word n-grams
+Every passage retrieved is verified: the words of the item's question and of its answer that lie in word n-grams
 shared with the text around the passage must cover enough of both.
 
 The index holds the benchmark alone. It is made in shards of at most SHARD items, each small enough to
@@ -184,30 +184,32 @@ def _open(index: Index, ids: np.ndarray, threshold: float):
 
 
 def search(index: Index, text: str, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, int]]:
-    """Verified hits in one text: item id, best score, question and answer overlap, first word of that passage."""
+    """Verified hits in one text: item id, score, question and answer overlap, first word of the best passage that is verified."""
     words = words_of(text)
     if not words or not index.terms:
         return []
     none = len(index.terms)
     ids = np.fromiter(map(index.terms.get, words, repeat(none)), np.int32, len(words))
-    best: dict[int, tuple[float, int]] = {}
+    found: dict[int, list[tuple[float, int]]] = defaultdict(list)
     for p in _open(index, ids, threshold):
         at = np.unique(ids[p * HALF : (p + 2) * HALF])
         if index.ranges[at].sum(axis=0).max() < threshold:
             continue
         for item, score in index.retrieve({t for t in at.tolist() if t != none}, threshold):
-            if item not in best or score > best[item][0]:
-                best[item] = score, p * HALF
+            found[item].append((-score, p * HALF))
     out = []
-    for item, (score, first) in sorted(best.items()):
+    for item, passages in sorted(found.items()):
         number, question, answer = index.items[item]
         reach = len(question) + len(answer) + HALF
-        region = words[max(first - reach, 0) : first + 2 * HALF + reach]
-        grams = {n: {tuple(region[i : i + n]) for i in range(len(region) - n + 1)} for n in {min(NGRAM, max(len(question), 1)), min(3, max(len(answer), 1))}}
-        q = covered(question, grams[min(NGRAM, max(len(question), 1))], min(NGRAM, max(len(question), 1)))
-        a = covered(answer, grams[min(3, max(len(answer), 1))], min(3, max(len(answer), 1)))
-        if q >= QUESTION and a >= ANSWER:
-            out.append((number, score, q, a, first))
+        # The best passage may only look like the item: the others are asked too, by score, until one holds it.
+        for score, first in sorted(passages):
+            region = words[max(first - reach, 0) : first + 2 * HALF + reach]
+            grams = {n: {tuple(region[i : i + n]) for i in range(len(region) - n + 1)} for n in {min(NGRAM, max(len(question), 1)), min(3, max(len(answer), 1))}}
+            q = covered(question, grams[min(NGRAM, max(len(question), 1))], min(NGRAM, max(len(question), 1)))
+            a = covered(answer, grams[min(3, max(len(answer), 1))], min(3, max(len(answer), 1)))
+            if q >= QUESTION and a >= ANSWER:
+                out.append((number, -score, q, a, first))
+                break
     return out
 
 
