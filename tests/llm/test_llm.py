@@ -326,6 +326,35 @@ def test_media(spark):
     assert offset == 12 and error < media.ERROR and n > 30
 
 
+def test_media_links_are_those_of_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    prints = []
+    for _ in range(4):
+        base = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+        for _ in range(14):  # few integers stay whole, and other ones in each variant
+            cut = int(rng.integers(0, 40))
+            v = base[cut : cut + int(rng.integers(3, 40))].copy()
+            for i in np.flatnonzero(rng.random(len(v)) < 0.7):
+                v[i] ^= np.bitwise_or.reduce(np.uint32(1) << rng.integers(0, 32, int(rng.integers(1, 4))).astype(np.uint32))
+            prints.append(v)
+    rows = [(i, len(v) + media.WIDTH - 1, v.view(np.int32).tolist()) for i, v in enumerate(prints)]
+    monkeypatch.setattr(media, "fingerprints", lambda df: df)
+    got = {r["id"]: r for r in media.align_recordings(spark.createDataFrame(rows, "id long, n_frames long, ints array<int>")).collect()}
+    label, degree = list(range(len(prints))), [0] * len(prints)
+    links = []
+    for a in label:
+        for b in range(a + 1, len(prints)):
+            _, error, n = media.align(prints[a], prints[b])
+            if error <= media.ERROR and n >= min(media.MIN_FRAMES, len(prints[a]), len(prints[b])):
+                links.append((a, b))
+                degree[a] += 1
+                degree[b] += 1
+    for _ in prints:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(links) > 50 and [got[i]["n_links"] for i in range(len(prints))] == degree and [got[i]["group_id"] for i in range(len(prints))] == label
+
+
 def test_empty_tables(spark):
     none = docs(spark, ["a"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
