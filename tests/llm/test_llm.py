@@ -326,6 +326,21 @@ def test_media(spark):
     assert offset == 12 and error < media.ERROR and n > 30
 
 
+def test_media_short_recordings(spark):
+    rng = np.random.default_rng(14)
+    t = np.arange(media.HOP) / media.RATE
+    song = lambda n: np.concatenate([sum(0.3 * np.sin(2 * np.pi * 220 * 2 ** ((k + 12 * o) / 12) * t) for o, k in enumerate(rng.integers(0, 12, 3))) for _ in range(n)])
+    short = [song(n) for n in (1, 2, 4, 6, 7, 9)]
+    rows = [(i, media.encode_wav(s)) for i, s in enumerate(short)]
+    rows += [(10 + i, v) for i, v in rows[:6]]
+    rows += [(20 + i, media.encode_wav(0.9 * s)) for i, s in enumerate(short)]
+    rows += [(30, media.encode_wav(np.zeros(media.FRAME))), (31, media.encode_wav(np.zeros(media.FRAME + media.HOP)))]
+    got = {r["id"]: r for r in media.align_recordings(spark.createDataFrame(rows, "id long, audio binary")).collect()}
+    assert all(r["n_ints"] == max(r["n_frames"] - media.WIDTH + 1, 1) for r in got.values())
+    assert all(got[10 + i]["class_id"] == i and got[20 + i]["group_id"] == got[10 + i]["group_id"] == i for i in range(6))
+    assert [got[i]["group_id"] for i in (30, 31)] == [30, 31]
+
+
 def test_media_links_are_those_of_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(13)
     prints = []
