@@ -326,6 +326,24 @@ def test_media(spark):
     assert offset == 12 and error < media.ERROR and n > 30
 
 
+def test_media_every_place_votes():
+    rng = np.random.default_rng(15)
+    for k in range(30):
+        b = rng.integers(0, 4 if k % 2 else 1 << 20, int(rng.integers(300, 900)), dtype=np.uint32)
+        b[: int(rng.integers(0, 300))] = 7  # a held tone
+        a = b[int(rng.integers(0, 250)) :][: int(rng.integers(1, 200))].copy()
+        a[rng.random(len(a)) < 0.1] ^= np.uint32(1)
+        for x, y in ((a, b), (b, a)):
+            votes = {}
+            for i, j in np.argwhere(x[:, None] == y[None, :]).tolist():
+                votes[i - j] = votes.get(i - j, 0) + 1
+            if votes:
+                assert media.align(x, y)[0] == min(votes, key=lambda o: (-votes[o], o))
+    loop = np.concatenate([np.full(300, 7), rng.integers(0, 1 << 20, 20), np.full(100, 7), rng.integers(0, 1 << 20, 3)]).astype(np.uint32)
+    part = loop[290:]
+    assert media.align(part, loop) == (-290, 0.0, len(part)) and media.align(loop, part) == (290, 0.0, len(part))
+
+
 def test_media_short_recordings(spark):
     rng = np.random.default_rng(14)
     t = np.arange(media.HOP) / media.RATE
