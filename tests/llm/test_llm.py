@@ -292,6 +292,26 @@ def test_decontamination_looks_behind_a_decoy(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs(spark, texts), bench).collect()} == {i for i in range(len(texts)) if i % 3 == 1}
 
 
+def test_html_names_of_the_layout_drop_no_article():
+    say = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    article = f"<h1>{say(1, 5)}</h1><p>{say(2)}</p><p>{say(3)}</p>"
+    want = "\n".join((say(1, 5), say(2), say(3)))
+    menu, comments = f"<nav><ul><li><a href=x>{say(8, 2)}</a></li></ul></nav>", f'<div id="comments"><p>{say(9, 30)}</p></div>'
+    for layout in ("no-sidebar", "has-comments", "search-open", "legal", "overflow-hidden"):
+        assert html_text.extract(f'<html><body class="{layout}">{menu}<article>{article}</article>{comments}</body></html>') == want
+        assert html_text.extract(f'<body>{menu}<article class="post {layout}">{article}</article>{comments}</body>') == want
+    for layout in ("no-sidebar", "has-comments", "search-open"):
+        assert html_text.extract(f'<body><div class="{layout}">{menu}<article>{article}</article>{comments}</div></body>') == want
+    for name in ("search", "discussion", "legal", "feedback", "notice"):
+        section = f'<section id="{name}"><h2>{say(4, 3)}</h2><p>{say(5)}</p></section>'
+        assert html_text.extract(f"<body>{menu}<article>{article}{section}</article>{comments}</body>") == "\n".join((want, say(4, 3), say(5)))
+    within = article.replace("w2x9", "w2x9 <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> <object data=x>held</object>")
+    assert html_text.extract(f"<body>{menu}<article>{within}</article></body>") == want.replace("w2x9", "w2x9 x=2 held")
+    # More comments than article: still left out, also inside it.
+    many = f'<section class="comments">{"".join(f"<article class=comment><p>{say(k)}</p></article>" for k in range(20, 30))}</section>'
+    assert html_text.extract(f"<body>{menu}<article>{article}</article>{many}</body>") == want == html_text.extract(f"<body>{menu}<article>{article}{many}</article></body>")
+
+
 def test_block_max_wand_is_exact():
     rng = random.Random(10)
     items = [(i, " ".join(f"t{int(rng.paretovariate(0.6)) % 80}" for _ in range(30))) for i in range(150)]

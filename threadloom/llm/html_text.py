@@ -6,6 +6,10 @@ a tag's (never above zero) from its name. One linear scan (keep the running sum,
 positive) finds the contiguous region with the largest sum; words of that region whose own score is negative
 (an advert or reader comments inside an article) are left out. Blocks of what remains are the text.
 
+Class and id of html, body, an outermost article or main, and of wrappers that hold most words together with a heading
+of the article are the layout's and are not asked (`no-sidebar`, `has-comments`); nor is an article's section id
+that may be its subject (`discussion`). Formulas (math) and what object holds are read as text.
+
 The labelled pages are composed here from templates in which every part is marked; `fit_weights` takes any
 other labelled pages instead.
 
@@ -30,11 +34,14 @@ from threadloom.llm import common
 
 # HTML's void elements, elements with raw text, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style noscript template iframe textarea title svg select annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
+#: Elements whose class and id speak of the page's layout; and what an id inside an article may name as its subject.
+HOLDERS = frozenset("html body article main".split())
+SUBJECTS = frozenset("alert consent discussion feedback follow form header legal menu notice popular register search sharing tags trending".split())
 #: What is left out inside an article parts it little, so that its end is not lost behind an advert.
 WITHIN, HOLDS = -0.1, 2.0
 _EVENT = re.compile(
@@ -45,20 +52,29 @@ _HIDDEN = re.compile(r"""(?:\s|^)(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?tr
 _NAME = re.compile(r"[a-z]+")
 
 
-def features(tag: str, attributes: str) -> tuple[str, ...]:
-    """What an element says of itself: its name, and the words of its class, id and role."""
+def features(tag: str, attributes: str, named: bool = True, inside: bool = False) -> tuple[str, ...]:
+    """What an element says of itself: its name, and if it is to be named so the words of its class, id and role.
+
+    Inside an article the id of a section or heading is the target of links: words that may be its subject say nothing.
+    """
     found = [f"<{tag}>"]
     if attributes:
-        for _, value in _ATTRIBUTE.findall(attributes):
-            found += [f".{w}" for w in _NAME.findall(value.lower())]
+        for kind, value in _ATTRIBUTE.findall(attributes) if named else ():
+            anchor = inside and kind.lower() == "id" and tag in ("section", "h1", "h2", "h3", "h4", "h5", "h6", "p", "dt", "li")
+            found += [f".{w}" for w in _NAME.findall(value.lower()) if not (anchor and w in SUBJECTS)]
         if _HIDDEN.search(attributes):
             found.append(".hidden")
     return tuple(found)
 
 
-def events(page: str):
-    """('text', text, context) / ('tag', name, (is_block, context)); context is the tuple of features of all open elements."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def events(page: str, opened: list[list] | None = None, free: frozenset[int] = frozenset()):
+    """('text', text, context) / ('tag', name, (is_block, context)); context is the tuple of features of all open elements.
+
+    opened takes of each element its features, its number of words and the features of headings and articles in it;
+    the elements whose numbers are in free are not judged by class and id.
+    """
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    number = -1
     context: tuple[str, ...] = ()
     at, n = 0, len(page)
     while at < n:
@@ -72,6 +88,9 @@ def events(page: str):
         at = m.end()
         closing, tag, attributes, text = m.groups()
         if text is not None:
+            if opened is not None and (n_words := len(text.split())):
+                for _, _, k in stack:
+                    opened[k][1] += n_words
             yield "text", text, context
             continue
         if tag is None:
@@ -80,7 +99,7 @@ def events(page: str):
         if not closing and tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-            yield "tag", tag, (True, context)
+            yield "tag", tag, (not tag.startswith("annotation"), context)
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
@@ -97,11 +116,18 @@ def events(page: str):
                         break
                     if stack[k][0] in BLOCK:
                         break
-            own = features(tag, attributes)
-            if tag == "header" and ("<article>" in context or "<main>" in context):
+            number += 1
+            inside = "<article>" in context or "<main>" in context
+            own = features(tag, attributes, number not in free and not (tag in HOLDERS and not inside), inside)
+            if opened is not None:
+                opened.append([own, 0, []])
+                if tag in ("h1", "main", "article"):
+                    for _, _, k in stack:
+                        opened[k][2].append(features(tag, attributes))
+            if tag == "header" and inside:
                 own = ("<header> within", *own[1:])
             context = (*context, *(f for f in own if f not in context))
-            stack.append((tag, context))
+            stack.append((tag, context, number))
         yield "tag", tag, (tag in BLOCK, context)
 
 
@@ -201,13 +227,21 @@ def default_weights() -> Weights:
     return _FITTED[0]
 
 
+def wrappers(page: str, weights: Weights) -> frozenset[int]:
+    """Numbers of the elements that hold most of the page's words and the article's heading or element: their names are the layout's."""
+    opened: list[list] = []
+    total = sum(len(value.split()) for kind, value, _ in events(page, opened) if kind == "text")
+    against = lambda own: any(f[0] == "." and weights.words.get(f, 0.0) < 0 for f in own)
+    return frozenset(k for k, (own, n, held) in enumerate(opened) if 2 * n > total and ".hidden" not in own and against(own) and not all(map(against, held)))
+
+
 def extract(page: str, weights: Weights | None = None) -> str:
     """The main text of one page."""
     weights = weights or default_weights()
     best = running = 0.0
     first = begin = end = -1
     kept: list[tuple[str, float] | None] = []  # text with its words' score; None: a block begins or ends
-    for kind, value, extra in events(page):
+    for kind, value, extra in events(page, free=wrappers(page, weights)):
         if kind == "tag":
             running += max(weights.of_tag(value), WITHIN) if weights.within(extra[1]) else weights.of_tag(value)
             if extra[0]:
