@@ -4,6 +4,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.api import Api, ApiError, month_range, turn_page
 from threadloom.operators.store import Store
@@ -107,6 +108,19 @@ def test_import_search_and_soft_deletion(spark, tmp_path):
     assert {r["is_active"]: r["count"] for r in active} == {True: 7, False: 3}
 
 
+def test_topics_fold_text_that_nfkc_changes(spark, tmp_path):
+    forms = ("caf\u00e9", "cafe\u0301", "\ufb01nance", "finance", "\uff21\uff22\uff23\uff24", "abcd", "\u03c3\u03bf\u03c6\u03bf\u03c2", "\u03a3\u039f\u03a6\u039f\u03a3")
+    store = Store(spark, str(tmp_path / "store"))
+    importer.import_export(spark, write(tmp_path / "e", export()), store)
+    old = store.read("events").limit(1)
+    rows = spark.createDataFrame([(f"e{i}", x) for i, x in enumerate(forms)], "eid string, etext string")
+    made = old.crossJoin(rows).withColumns({"event_id": F.col("eid"), "text": F.col("etext"), "is_active": F.lit(True), "analysis_enabled": F.lit(True)}).select(*old.columns)
+    store.commit({"events": made})
+    api = Api(spark, store)
+    api.build_topics(1, 100, 5)
+    assert {r["name"]: r["message_count"] for r in store.read("topics").collect()} == {"caf\u00e9": 2, "finance": 2, "abcd": 2, "\u03c3\u03bf\u03c6\u03bf\u03c3": 2}
+
+
 def test_pages_and_months():
     assert [str(x)[:10] for x in month_range("2024-01", "2024-12")] == ["2024-01-01", "2025-01-01"] and month_range(None, None) == (None, None)
     assert turn_page(25, 10, 10) == {"from": 11, "to": 20, "previous": 0, "next": 20} and turn_page(5, 10, 0)["next"] is None

@@ -65,7 +65,7 @@ class Api:
 
     def build_topics(self, least: int = 5, most: int = 500, per_event: int = 5) -> dict[str, int]:
         """Rebuild topics; those of other categories than keyword stay."""
-        made = topics.build_topics(self.store.read("events"), least, most, per_event)
+        made = topics.build_topics(self.store.read("events"), least, most, per_event, exact=True)
         old = self.store.read("topics")
         self.store.commit({"topics": made.topics if old is None else topics.replace_keyword_topics(old, made.topics), "event_topics": made.event_topics, "topic_relations": made.relations, "postings": search.postings(self.store.read("events")).sort("term")})
         return rows(made.counters)[0]
