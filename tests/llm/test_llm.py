@@ -27,6 +27,30 @@ def test_components(spark):
     assert common.components(edges.limit(0)).count() == 0
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    written, count = common.written, []
+    monkeypatch.setattr(common, "written", lambda *a, **k: count.append(a[1]) or written(*a, **k))
+    path = spark.range(9_999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = common.components(path)
+    assert found.agg(F.max("component"), F.count("*")).first() == (0, 10_000) and len(count) <= 20
+    order = list(range(3_000))
+    random.Random(3).shuffle(order)
+    count.clear()
+    found = common.components(spark.createDataFrame([(order[i], order[i + 1]) for i in range(2_999) if i != 1_000], "a long, b long"))
+    want = {n: min(order[:1_001] if k <= 1_000 else order[1_001:]) for k, n in enumerate(order)}
+    assert {r["node"]: r["component"] for r in found.collect()} == want and len(count) <= 60
+
+
+def test_hot_keys_are_labelled_without_a_shuffle_of_their_rows(spark):
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(600)] + [(None, -1)], "k long, v long")
+    labels = rows.where("k is not null").groupBy("k").agg(F.min("v").alias("least"), F.count("*").alias("n"))
+    least = {}
+    for r in rows.collect():
+        least[r["k"]] = min(least.get(r["k"], r["v"]), r["v"]) if r["k"] is not None else None
+    got = common.joined_hot(rows, labels, ["k"], "n").collect()
+    assert len(got) == 601 and all(r["least"] == least[r["k"]] for r in got)
+
+
 def test_words_are_cut_at_ascii_space_only():
     assert common.words_of("a b\tc\x1cd \x0be") == ["a b", "c\x1cd", "e"]
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key that holds more than one in this many of all rows is hot.
+HOT_SHARE = 10_000
 _ASCII_SPACE = str.maketrans({c: " " for c in "\t\n\v\f\r"})
 
 
@@ -36,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none (tests)."""
+    """The cluster's shared folder; a folder of our own only where the session names none and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,15 +60,15 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(*frames: DataFrame) -> None:
-    """Remove written stages that nothing reads any more, and let Spark drop their shuffle files."""
+def drop_written(*frames: DataFrame, shuffles: bool = True) -> None:
+    """Remove written stages that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
     for df in frames:
         jvm = df.sparkSession.sparkContext._jvm
         conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/threadloom/" in f}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-    if frames:
+    if frames and shuffles:
         frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
@@ -89,35 +93,59 @@ def rows_of(batch: pa.RecordBatch, step: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def joined_hot(rows: DataFrame, labels: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows left-joined with labels (one row per key, `count` telling how many rows hold it); no key gathers its rows in one task.
+
+    Keys that hold more than one in HOT_SHARE of the rows are fewer than HOT_SHARE, so their labels are broadcast under
+    that proven bound; the other keys' rows go through a shuffle, where the largest is that small a share of the whole.
+    """
+    total = rows.agg(F.count("*").alias("total_"))
+    hot = labels.crossJoin(F.broadcast(total)).where(F.col(count) * HOT_SHARE > F.col("total_")).drop("total_")  # total: one row
+    flagged = rows.join(F.broadcast(hot.withColumn("hot_", F.lit(True))), keys, "left")
+    done = flagged.where("hot_").drop("hot_")
+    rest = flagged.where("hot_ is null").select(rows.columns).join(labels, keys, "left")
+    return done.unionByName(rest)
+
+
+def _rooted(parent: DataFrame, label: str) -> DataFrame:
+    """(node, p) with every p followed up to its root (its own parent): chains halve each round, so a chain of n takes log2(n)."""
+    now = written(parent, f"{label}-parent")
+    while True:
+        up = now.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        far = written(now.select("node", "p").join(up, "p").select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), f"{label}-parent")
+        drop_written(now, shuffles=False)
+        if far.where("moved").isEmpty():
+            return far.select("node", "p")
+        now = far
+
+
 def components(edges: DataFrame, label: str = "cc", a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges, as (node, component), component being the smallest node.
 
-    Each round hangs every node on its smallest neighbour (an aggregation with map-side combine) and
-    contracts the edges to those parents; self-loops and repeats go. The rounds' parent tables are
-    composed backwards at the end. A path of n nodes needs O(log n) rounds or fewer in practice since
-    every node that is not a local minimum merges. No edge list ever reaches the driver.
+    Each round hangs every node on its smallest neighbour (an aggregation with map-side combine), follows the
+    hangings to their roots by pointer jumping, and contracts the edges to the roots; self-loops and repeats go.
+    A root that nothing hung on has a smaller neighbour in the next round, so two rounds at least halve the
+    nodes: O(log n) rounds of O(log n) jumps, and a path in order of its ids needs one round. The rounds' maps are
+    composed as they come. No edge list ever reaches the driver.
     """
     spark = edges.sparkSession
-    e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
-    e = written(e, f"{label}-edges")
-    maps: list[DataFrame] = []
-    used = [e]
+    e = written(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), f"{label}-edges")
+    result = None
     while not e.isEmpty():
         both = e.select(F.col("b").alias("node"), F.col("a").alias("p")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("p")))
-        parent = written(both.groupBy("node").agg(F.min("p").alias("p")), f"{label}-parent")
-        maps.append(parent)
-        pa_ = parent.select(F.col("node").alias("a"), F.col("p").alias("pa"))
-        pb_ = parent.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-        e = e.join(pa_, "a").join(pb_, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct()
-        e = written(e, f"{label}-edges")
-        used.append(e)
-    if not maps:
+        root = _rooted(both.groupBy("node").agg(F.min("p").alias("p")), label)
+        left, right = root.select(F.col("node").alias("a"), F.col("p").alias("pa")), root.select(F.col("node").alias("b"), F.col("p").alias("pb"))
+        less = e.join(left, "a").join(right, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct()
+        less = written(less, f"{label}-edges")
+        if result is None:
+            so_far = root.select("node", F.col("p").alias("component"))
+        else:
+            up = root.select(F.col("node").alias("component"), "p")
+            so_far = written(result.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")), f"{label}-out")
+            drop_written(result, root, shuffles=False)
+        drop_written(e, shuffles=False)
+        e, result = less, so_far
+    if result is None:
         kind = edges.schema[a].dataType
-        return spark.createDataFrame([], "node long, component long").select(F.col("node").cast(kind), F.col("component").cast(kind))
-    out = maps[0].select("node", F.col("p").alias("component"))
-    for m in maps[1:]:
-        up = m.select(F.col("node").alias("component"), F.col("p"))
-        out = out.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component"))
-    result = written(out, f"{label}-out")
-    drop_written(*used, *maps)
+        result = spark.createDataFrame([], "node long, component long").select(F.col("node").cast(kind), F.col("component").cast(kind))
     return result
