@@ -13,10 +13,11 @@ n-gram order. That order is cut vertically into fragments. Two uses:
 * Counting. Candidates' sets are cut into four fragments; partial overlaps are counted per fragment and
   summed per pair, and 100 * intersection >= 85 * union decides.
 
-Equal sets are one node from the start. In a block of equal signatures every node is first compared with its
-most central one (found in most blocks); what that links is contracted, and then all pairs across different
-components that share such a head are compared, if their bitmaps leave it possible. So a large group of near
-copies costs about as many comparisons as it has members.
+Equal sets are one node from the start, and a task sends a set on once however often it meets it. In a block of equal
+signatures the most central set (found in most blocks) is the head. Every set is first compared with the most central
+of its heads, then with those of its heads that are still in another component, and then all pairs across components
+that share a head are compared, if their bitmaps leave it possible. So a large group of near copies costs about as
+many comparisons as it has members.
 
 Cases: fewer than four words: the whole sequence is one shingle. Null text, or one without words: empty set,
 a component of its own, no links. Null doc_id: such rows are kept, linked with nothing (component null).
@@ -25,10 +26,12 @@ Rows that repeat a doc_id are one document; links of any of its texts count. Ext
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm import common
@@ -117,142 +120,190 @@ def signatures(members: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else members[:0]
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, d1, d2 (a 128-bit digest of the set) and sigs."""
+#: Digests of sets that a task remembers, so that equal sets are sent on once a task and not once a document.
+REMEMBERED = 500_000
+
+
+def digest(members: np.ndarray) -> int:
+    """A set's id: 64 bits, as its shingles' hashes are; 0 for the empty set."""
+    with np.errstate(over="ignore"):
+        return int(mix(np.add.reduce(mix(members ^ _M2), keepdims=True)).view(np.int64)[0]) if len(members) else 0
+
+
+def _digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n, d of every row."""
 
     def run(batch: pa.RecordBatch):
         for part in common.rows_of(batch, 256):
             sets = shingle_sets(common.texts(part))
-            with np.errstate(over="ignore"):
-                d1 = np.array([np.add.reduce(mix(s ^ _M2)) if len(s) else 0 for s in sets], np.uint64)
-                d2 = np.array([np.add.reduce(mix(s + _P)) if len(s) else 0 for s in sets], np.uint64)
-            sigs = [signatures(s) for s in sets]
-            edges = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            flat = np.concatenate(sigs).astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], ["doc_id", "n", "d1", "d2", "sigs"]
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], ["doc_id", "n", "d"])
+
+    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, d long")
+
+
+def _new_sets(batches):
+    """(digest, set) of the different non-empty sets of a task's texts; a set may come again once REMEMBERED others have come between."""
+    seen: set[int] = set()
+    for batch in batches:
+        for part in common.rows_of(batch, 256):
+            found = []
+            for s in shingle_sets(common.texts(part)):
+                if len(s) and (d := digest(s)) not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(d)
+                    found.append((d, s))
+            if found:
+                yield found
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    """(sig, d, n), a row per signature of each different set of a task."""
+
+    def run(batches):
+        for found in _new_sets(batches):
+            sigs = [signatures(s) for _, s in found]
+            sizes = [len(x) for x in sigs]
+            ids, counts = np.repeat(np.array([d for d, _ in found], np.int64), sizes), np.repeat(np.array([len(s) for _, s in found], np.int32), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.uint64).view(np.int64)), pa.array(ids), pa.array(counts)], ["sig", "d", "n"])
 
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, d1 long, d2 long, sigs array<long>")
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, d long, n int")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """Rows (sig, doc_id) whose signature is met again; rows come sorted by sig and are streamed, never gathered."""
+    """Rows (sig, d, n) whose signature is that of several sets, each once; they come sorted by sig and d and are streamed, never gathered."""
 
     def run(batches):
-        held = None  # last row of the batch before, and whether it was given out
+        held, given = None, False  # the last row so far, and whether it was given out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            sig, d, n = (np.asarray(batch.column(k)) for k in range(3))
             if held is not None:
-                sig, doc = np.concatenate([[held[0]], sig]), np.concatenate([[held[1]], doc])
+                sig, d, n = (np.concatenate([[h], x]) for h, x in zip(held, (sig, d, n), strict=True))
+            once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (d[1:] != d[:-1])])
+            first_given = given and bool(once[0])
+            sig, d, n = sig[once], d[once], n[once]
             same = sig[1:] == sig[:-1]
             keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            last = keep[-1]
-            if held is not None and held[2]:
+            held, given = (sig[-1], d[-1], n[-1]), bool(keep[-1]) or (first_given and len(sig) == 1)
+            if first_given:
                 keep[0] = False
-            if len(sig) == 1:
-                held = (sig[0], doc[0], False if held is None else held[2])
-                continue
-            held = (sig[-1], doc[-1], bool(last))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(doc[keep])], ["sig", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(d[keep]), pa.array(n[keep])], ["sig", "d", "n"])
+
+    return rows.mapInArrow(run, "sig long, d long, n int")
+
+
+_FRAGMENTS = [f"f{k}" for k in range(FRAGMENTS)]
+
+
+def _fragments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(d, n, f0, f1 ...): the wanted sets, cut into fragments of the hash order."""
+
+    def run(batches):
+        cuts = [np.uint64((k << 64) // FRAGMENTS) for k in range(1, FRAGMENTS)]
+        for found in _new_sets(batches):
+            parts = list(zip(*(np.split(s, np.searchsorted(s, cuts)) for _, s in found), strict=True))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)), pa.array(np.concatenate(part).view(np.int64))) for part in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), *lists], ["d", "n", *_FRAGMENTS])
 
-    return rows.mapInArrow(run, "sig long, doc_id long")
+    made = docs.where("doc_id is not null").select("text").mapInArrow(run, "d long, n long, " + ", ".join(f"{f} array<long>" for f in _FRAGMENTS))
+    return made.join(wanted, "d", "left_semi").dropDuplicates(["d"])
 
 
-def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sets of the wanted documents, cut into fragments: doc_id, d1, frag, members; with the first also a bitmap of the whole set."""
+def _bitmaps(fragments: DataFrame) -> DataFrame:
+    """(d, b0_, b1_ ...): a bitmap of each whole set."""
+    names = [f"b{k}_" for k in range(BITMAP)]
 
     def run(batch: pa.RecordBatch):
         for part in common.rows_of(batch, 256):
-            sets, ids = shingle_sets(common.texts(part)), part.column(0).to_pylist()
-            doc, dig, frag, members, maps = [], [], [], [], []
-            with np.errstate(over="ignore"):
-                for i, s in zip(ids, sets, strict=True):
-                    if not len(s):
-                        continue
-                    d = int(np.array([np.add.reduce(mix(s ^ _M2))], np.uint64).view(np.int64)[0])
-                    cuts = np.searchsorted(s, [np.uint64(k << 62) for k in range(1, FRAGMENTS)])
-                    bits = np.zeros(BITMAP * 64, np.uint8)
-                    bits[(mix(s + _M1) >> np.uint64(32)) % np.uint64(BITMAP * 64)] = 1
-                    maps += [np.packbits(bits).view(np.int64).tolist(), *[None] * (FRAGMENTS - 1)]
-                    for k, x in enumerate(np.split(s, cuts)):
-                        doc.append(i)
-                        dig.append(d)
-                        frag.append(k)
-                        members.append(x.view(np.int64))
-            edges = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
-            flat = np.concatenate(members) if members else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(dig, pa.int64()), pa.array(frag, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "d1", "frag", "members", "bits"])
-
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    return common.map_batches(some, run, "doc_id long, d1 long, frag int, members array<long>, bits array<long>").dropDuplicates(["doc_id", "d1", "frag"])
-
-
-def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """pairs (a, b) with their best `shared` and `joined` (intersection and union): partial overlaps per fragment, summed."""
-    left = segments.select(F.col("doc_id").alias("a"), F.col("d1").alias("da"), "frag", F.col("members").alias("ma"))
-    right = segments.select(F.col("doc_id").alias("b"), F.col("d1").alias("db"), "frag", F.col("members").alias("mb"))
-    part = pairs.select("a", "b").join(left, "a").join(right, ["b", "frag"])
-    part = part.select("a", "b", "da", "db", F.size(F.array_intersect("ma", "mb")).alias("i"), (F.size("ma") + F.size("mb")).alias("s"))
-    whole = part.groupBy("a", "b", "da", "db").agg(F.sum("i").alias("shared"), F.sum("s").alias("sizes"))
-    whole = whole.withColumn("joined", F.col("sizes") - F.col("shared"))
-    return whole.groupBy("a", "b").agg(F.max_by(F.struct("shared", "joined"), F.col("shared") / F.col("joined")).alias("best")).select("a", "b", "best.shared", "best.joined")
+            bits = np.zeros((part.num_rows, BITMAP * 64), np.uint8)
+            for f in _FRAGMENTS:
+                column = part.column(part.schema.get_field_index(f))
+                row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(column.offsets)))
+                with np.errstate(over="ignore"):
+                    bits[row, (mix(np.asarray(column.flatten()).view(np.uint64) + _M1) >> np.uint64(32)) % np.uint64(BITMAP * 64)] = 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP)]], ["d", *names])
+
+    return common.map_batches(fragments.select("d", *_FRAGMENTS), run, "d long, " + ", ".join(f"{b} long" for b in names))
+
+
+def _verified(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """pairs (a, b) with `shared` and `joined` (intersection and union): partial overlaps per fragment, summed."""
+    side = lambda name, c: fragments.select(F.col("d").alias(name), F.col("n").alias(f"n{c}"), *[F.col(f).alias(f"{f}{c}") for f in _FRAGMENTS])
+    both = pairs.select("a", "b").join(side("b", "y"), "b").join(side("a", "x"), "a")
+    shared = sum((F.size(F.array_intersect(f"{f}x", f"{f}y")) for f in _FRAGMENTS[1:]), F.size(F.array_intersect(f"{_FRAGMENTS[0]}x", f"{_FRAGMENTS[0]}y")))
+    return both.select("a", "b", shared.alias("shared"), (F.col("nx") + F.col("ny")).alias("sizes")).select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("joined"))
+
+
+def _linked(pairs: DataFrame, fragments: DataFrame, label: str) -> DataFrame:
+    return common.written(_verified(pairs, fragments).where(F.col("shared") * 100 >= F.col("joined") * PERCENT).select("a", "b"), label)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
-    Written stages: sets' digests and signatures; blocks of signatures that are met twice; candidates'
-    fragments; checked pairs. Each is dropped when nothing reads it any more.
+    Nodes are different sets, by their digests. Written stages: digests; blocks of signatures that several sets have; pairs
+    with heads; candidates' fragments; links. Each is dropped when nothing reads it any more.
     """
-    sets = common.written(_sets(docs), "jaccard-sets")
-    least = sets.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    nodes = common.written(sets.select("doc_id", "n", "d1", "d2").join(least, ["n", "d1", "d2"], "left"), "jaccard-nodes")
-    exploded = sets.where("doc_id is not null").select(F.explode("sigs").alias("sig"), "doc_id")
-    blocks = common.written(_runs(exploded.repartition("sig").sortWithinPartitions("sig")), "jaccard-blocks")
-    reps = nodes.where("rep is not null").select("doc_id", "rep", "n").distinct()
-    members = common.written(blocks.join(reps, "doc_id").select("sig", "rep", "n").distinct(), "jaccard-members")
-    common.drop_written(sets, blocks)
-
-    # The head of a block is the member that most blocks hold: the original of a group rather than an edited copy.
+    rows = common.written(_digests(docs), "jaccard-digests")
+    sets = rows.where("n > 0 and doc_id is not null")
+    signed = _signatures(docs).repartition("sig").sortWithinPartitions("sig", "d")
+    blocks = common.written(_runs(signed), "jaccard-blocks")
+
+    # The head of a block is the set that most blocks hold: the original of a group rather than an edited copy.
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-    central = members.groupBy("rep").agg(F.count("*").alias("blocks"))
-    heads = members.join(central, "rep").groupBy("sig").agg(F.min(F.struct((-F.col("blocks")).alias("k"), "rep", "n")).alias("p"))
-    stars = common.written(members.join(heads, "sig").select(F.col("p.rep").alias("p"), F.col("p.n").alias("np"), "rep", "n").distinct(), "jaccard-stars")
-    common.drop_written(members)
-    pairs = common.written(stars.where("rep <> p").where(near(F.col("n"), F.col("np"))).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct(), "jaccard-pairs")
-    segments = common.written(_segments(docs, stars.where("rep <> p").select(F.explode(F.array("p", "rep")).alias("doc_id")).distinct()), "jaccard-fragments")
-    checked = common.written(_verified(pairs, segments), "jaccard-checked")
-    links = checked.where(F.col("shared") * 100 >= F.col("joined") * PERCENT).select("a", "b")
-    ids = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
-    links = links.unionByName(reps.join(ids, "doc_id").where("rep > a").select("a", F.col("rep").alias("b")))  # texts of one doc_id
-    found = common.components(links, "jaccard-first")
+    central = blocks.groupBy("d").agg(F.count("*").alias("blocks"))
+    ranked = blocks.join(central, "d").withColumn("p", F.min(F.struct((-F.col("blocks")).alias("k"), "d", "n")).over(Window.partitionBy("sig")))
+    stars = common.written(ranked.groupBy(F.col("p.d").alias("p"), "d").agg(F.first("p.n").alias("np"), F.first("n").alias("n"), F.first("p.k").alias("k")), "jaccard-stars")
+    common.drop_written(blocks)
+    fit = stars.where("d <> p").where(near(F.col("n"), F.col("np")))
+    pairs = common.written(fit.select(F.col("p").alias("a"), F.col("d").alias("b"), "k"), "jaccard-pairs")
+    wanted = stars.where("d <> p").select(F.explode(F.array("p", "d")).alias("d")).distinct()
+    fragments = common.written(_fragments(docs, wanted), "jaccard-fragments")
+
+    # Each set is first held against the most central of its heads alone; what that links needs no other comparison.
+    best = pairs.groupBy("b").agg(F.min(F.struct("k", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    links = [_linked(best, fragments, "jaccard-best")]
+    repeated = sets.select("doc_id", "d").distinct().groupBy("doc_id").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z")
+    links.append(sets.join(repeated, "doc_id").where("d > a").select("a", F.col("d").alias("b")).distinct())  # texts of one doc_id
+    union = lambda: functools.reduce(DataFrame.unionByName, links)
+    found = common.components(union(), "jaccard-first")
+
+    def apart(rows: DataFrame, a: str, b: str) -> DataFrame:
+        """rows whose a and b are in different components so far."""
+        for c in (a, b):
+            rows = rows.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+        return rows.where(F.col(f"c_{a}") != F.col(f"c_{b}"))
+
+    others = apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), "a", "b").select("a", "b")
+    links.append(_linked(others, fragments, "jaccard-others"))
+    if not links[-1].isEmpty():
+        found = common.components(union(), "jaccard-second")
 
     # All pairs across components that share a head. Two sets differ in at least as many members as their bitmaps
     # do in bits, which rules most out where the pair is made.
-    label = found.select(F.col("node").alias("rep"), "component")
-    placed = stars.select("p", "rep", "n").join(label, "rep", "left").select("p", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    open_ = placed.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("p")
-    maps = segments.where("frag = 0").groupBy("doc_id").agg(F.count("*").alias("k"), F.first("bits").alias("bits")).where("k = 1").select(F.col("doc_id").alias("rep"), "bits")
-    rest = placed.join(open_, "p", "left_semi").join(maps, "rep", "left")
-    rest = common.written(rest.select("p", "rep", "n", "c", *[F.col("bits")[k].alias(f"b{k}_") for k in range(BITMAP)]), "jaccard-open")
+    placed = stars.select("p", "d", "n").join(found.select(F.col("node").alias("d"), "component"), "d", "left").select("p", "d", "n", F.coalesce("component", "d").alias("c"))
+    open_ = placed.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x < y and k > 2").select("p")
+    rest = placed.where("d <> p").join(open_, "p", "left_semi")  # with the head itself all were compared
+    rest = common.written(rest.join(_bitmaps(fragments.join(rest.select("d").distinct(), "d", "left_semi")), "d"), "jaccard-open")
     one, two = (rest.select("p", *[F.col(x).alias(f"{x}{side}") for x in rest.columns if x != "p"]) for side in (1, 2))
     differ = sum((F.bit_count(F.col(f"b{k}_1").bitwiseXOR(F.col(f"b{k}_2"))) for k in range(1, BITMAP)), F.bit_count(F.col("b0_1").bitwiseXOR(F.col("b0_2"))))
-    cross = one.join(two, "p").where("rep1 < rep2 and c1 <> c2").where(near(F.col("n1"), F.col("n2")))
-    cross = cross.where(F.coalesce(differ * (100 + PERCENT) <= (F.col("n1") + F.col("n2")) * (100 - PERCENT), F.lit(True)))
-    cross = cross.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.written(_verified(common.written(cross, "jaccard-cross"), segments), "jaccard-more")
-    more = more.where(F.col("shared") * 100 >= F.col("joined") * PERCENT).select("a", "b")
-    if not more.isEmpty():
-        found = common.components(links.unionByName(more), "jaccard-all")
-    common.drop_written(segments, stars, rest, checked, pairs)
-
-    label = found.select(F.col("node").alias("rep"), "component")
-    same = nodes.where("rep is not null").select("doc_id", "rep").join(label, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    out = nodes.select("doc_id", F.col("n").alias("n_shingles")).join(same, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    cross = one.join(two, "p").where("d1 < d2 and c1 <> c2").where(near(F.col("n1"), F.col("n2")))
+    cross = cross.where(differ * (100 + PERCENT) <= (F.col("n1") + F.col("n2")) * (100 - PERCENT))
+    cross = common.written(cross.select(F.col("d1").alias("a"), F.col("d2").alias("b")).distinct(), "jaccard-cross")
+    links.append(_linked(cross, fragments, "jaccard-more"))
+    if not links[-1].isEmpty():
+        found = common.components(union(), "jaccard-all")
+    common.drop_written(fragments, stars, rest, pairs, cross)
+
+    least = sets.groupBy("d").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(found.select(F.col("node").alias("d"), "component"), "d", "left")
+    least = least.select("d", "least", "copies", F.coalesce("component", "d").alias("c"))
+    label = least.groupBy("c").agg(F.min("least").alias("component_id"))
+    labels = common.written(least.join(label, "c").select("d", "copies", "component_id"), "jaccard-labels")
+    out = common.joined_hot(rows, labels, ["d"], "copies")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
