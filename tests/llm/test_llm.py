@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from threadloom.llm import common, decontaminate, html_text, line_dedup, media, mixing, ngram_join, quality, token_count, token_file, toxicity
@@ -240,40 +241,71 @@ def test_line_dedup_against_brute_force(spark):
             lines.append(rng.choice([" ".join(w), " ".join(w).upper() + "!"]))
         texts.append("\n".join(lines))
     df = docs(spark, texts)
-    hashed = line_dedup.lines_of(df).select("doc_id", "pos", "norm", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hashes")).withColumn("sim", line_dedup.simhash()).collect()
-
-    def bits(hashes):
-        return sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    assert all(bits([h & (1 << 64) - 1 for h in r["hashes"]]) == r["sim"] for r in hashed)
-    sims = {r["norm"]: r["sim"] for r in hashed}
-    names = list(sims)
+    norm = lambda x: " ".join(w for w in regex.split(r"[^\p{L}\p{N}]+", x.lower()) if w)
+    lines = [(i, k, norm(x)) for i, t in enumerate(texts) if t for k, x in enumerate(t.split("\n")) if norm(x)]
+    names = sorted({x for _, _, x in lines})
     label = {x: x for x in names}
-    links = [(a, b) for a in names for b in names if a < b and (sims[a] ^ sims[b]).bit_count() <= 3 and distance(a, b) <= int(0.15 * max(len(a), len(b)) + 1e-9)]
+    links = [(a, b) for a in names for b in names if a < b and distance(a, b) <= int(0.15 * max(len(a), len(b)) + 1e-9)]
     for _ in names:
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    first = {}
-    for r in sorted(hashed, key=lambda r: (r["doc_id"], r["pos"])):
-        first.setdefault(label[r["norm"]], (r["doc_id"], r["pos"]))
-    want = {}
-    for r in hashed:
-        if first[label[r["norm"]]] != (r["doc_id"], r["pos"]):
-            want.setdefault(r["doc_id"], []).append(r["pos"])
+    first, want = {}, {}
+    for i, k, x in lines:
+        if first.setdefault(label[x], (i, k)) != (i, k):
+            want.setdefault(i, []).append(k)
     got = {r["doc_id"]: r["dropped"] for r in line_dedup.dropped_lines(df).collect()}
-    assert {k: v for k, v in got.items() if v} == {k: sorted(v) for k, v in want.items()} and len(got) == len(texts)
-    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df.withColumn("cut", F.lit(1))).collect()}
+    n_want = sum(map(len, want.values()))
+    assert all(set(v) <= set(want.get(k, [])) for k, v in got.items()) and len(got) == len(texts)  # only near copies go
+    assert sum(map(len, got.values())) >= 0.9 * n_want > 20
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df.withColumn("cut", F.lit(1)).withColumn("t", F.lit(2))).collect()}
     for i, t in enumerate(texts):
-        assert left[i] == (t if i not in want else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]))
+        assert left[i] == (t if not got[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in got[i]))
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_line_dedup_finds_lines_with_a_changed_letter_or_word(spark):
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 10))) for _ in range(400)]
+    for n in (5, 8, 12, 20, 40, 90):
+        texts = []
+        for k in range(60):
+            w = [rng.choice(vocabulary) for _ in range(n)]
+            line, at = " ".join(w), rng.randrange(n)
+            if k % 2 and len(w[at]) < 0.15 * len(line) - 1:
+                w[at] = ""
+                changed = " ".join(w)
+            else:
+                at = rng.randrange(len(line))
+                changed = line[:at] + "z" + line[at + 1 :]
+            texts += [line, changed]
+        gone = {r["doc_id"] for r in line_dedup.dropped_lines(docs(spark, texts)).collect() if r["dropped"]}
+        assert gone <= set(range(1, 120, 2)) and len(gone) >= 54, n
+
+
+def test_line_dedup_keeps_texts_of_one_id_apart(spark):
+    rows = [(1, "alpha beta\ngamma delta"), (5, "alpha beta\nunique line here"), (5, "my own first line\ngamma delta"), (5, "alpha beta\nunique line here"), (None, "gamma delta"), (None, "only here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup_lines(df).collect())
+    assert left == [(0, "gamma delta"), (0, "only here"), (1, "alpha beta"), (5, "my own first line"), (5, "unique line here"), (5, "unique line here")]
+
+
+def test_line_dedup_compares_very_long_lines_by_words(spark):
+    rng = random.Random(19)
+    words = [f"word{rng.randrange(5000)}" for _ in range(1500)]
+    near = list(words)
+    for k in range(0, 1500, 40):
+        near[k] = f"other{k}"
+    texts = [" ".join(words), " ".join(near), " ".join(rng.sample(words, 1500))]
+    assert {r["doc_id"]: r["dropped"] for r in line_dedup.dropped_lines(docs(spark, texts)).collect()} == {0: [], 1: [0], 2: []}
 
 
 def test_decontamination_finds_what_brute_force_finds(spark):
@@ -403,7 +435,7 @@ def test_media_short_recordings(spark):
     assert [got[i]["group_id"] for i in (30, 31)] == [30, 31]
 
 
-def test_media_links_are_those_of_brute_force(spark, monkeypatch):
+def test_media_links_are_those_of_brute_force(spark):
     rng = np.random.default_rng(13)
     prints = []
     for _ in range(4):
@@ -414,22 +446,37 @@ def test_media_links_are_those_of_brute_force(spark, monkeypatch):
             for i in np.flatnonzero(rng.random(len(v)) < 0.7):
                 v[i] ^= np.bitwise_or.reduce(np.uint32(1) << rng.integers(0, 32, int(rng.integers(1, 4))).astype(np.uint32))
             prints.append(v)
-    rows = [(i, len(v) + media.WIDTH - 1, v.view(np.int32).tolist()) for i, v in enumerate(prints)]
-    monkeypatch.setattr(media, "fingerprints", lambda df: df)
-    got = {r["id"]: r for r in media.align_recordings(spark.createDataFrame(rows, "id long, n_frames long, ints array<int>")).collect()}
-    label, degree = list(range(len(prints))), [0] * len(prints)
-    links = []
+    rows = [(i, len(v) + media.WIDTH - 1, len(v), 1000 - i, v.view(np.int32).tolist()) for i, v in enumerate(prints)]
+    got = {r["id"]: r for r in media.align_prints(spark.createDataFrame(rows, media._PRINTS)).collect()}
+    label, links = list(range(len(prints))), []
     for a in label:
         for b in range(a + 1, len(prints)):
             _, error, n = media.align(prints[a], prints[b])
             if error <= media.ERROR and n >= min(media.MIN_FRAMES, len(prints[a]), len(prints[b])):
                 links.append((a, b))
-                degree[a] += 1
-                degree[b] += 1
     for _ in prints:
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    assert len(links) > 50 and [got[i]["n_links"] for i in range(len(prints))] == degree and [got[i]["group_id"] for i in range(len(prints))] == label
+    kept = sum(got[a]["group_id"] == got[b]["group_id"] for a, b in links)
+    assert len(links) > 50 and kept >= 0.9 * len(links)
+    assert all(label[a] == label[got[a]["group_id"]] for a in got)  # nothing is linked that should not be
+
+
+def test_media_equal_frames_give_equal_integers_anywhere():
+    rng = np.random.default_rng(16)
+    table = media.chord_frames()
+    songs = [table[rng.integers(0, 1728, int(n))] for n in rng.integers(0, 40, 60)] + [np.zeros((9, 12), np.float32)]
+    together = media.fingerprints_of(songs)
+    assert all(np.array_equal(x, media.fingerprint(s)) for x, s in zip(together, songs, strict=True))
+    assert (together[-1] == media.SILENCE).all() and len(media.around(together[-1])) == len(together[-1])
+
+
+def test_media_of_turns_holds_nulls_and_copies(spark):
+    rows = [(1, 0, None), (1, 1, ""), (1, 2, "one two three four five six seven eight nine ten"), (2, 0, "one two three four five six seven eight nine ten"), (None, 3, "one two"), (3, 0, "a")]
+    made = media.align_prints(media.played(spark.createDataFrame(rows, "conv_id long, turn long, text string")))
+    got = {r["id"]: r for r in made.collect()}
+    first = (1 << 20) + 2
+    assert len(got) == 6 and got[2 << 20]["class_id"] == got[2 << 20]["group_id"] == first and got[1 << 20]["n_frames"] == 0 and got[None]["group_id"] is None
 
 
 def test_empty_tables(spark):

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key that holds more than one in this many of all rows is hot.
 HOT_SHARE = 10_000
+#: Bits of the filter that tells which rows a later pass needs: a fixed size, 4 MB at every size of the input. Where it is
+#: too small to rule rows out, the joins behind it do.
+FILTER_BITS = 1 << 25
 _ASCII_SPACE = str.maketrans({c: " " for c in "\t\n\v\f\r"})
 
 
@@ -93,6 +97,31 @@ def rows_of(batch: pa.RecordBatch, step: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def filter_place(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS)).alias("at")
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """The filter of the ids in the first column."""
+    return place_filter(ids.select(filter_place(ids.columns[0])))
+
+
+def place_filter(places: DataFrame) -> bytes:
+    """A bitmap of places `at` below FILTER_BITS, made by a bitwise-or aggregation; the driver sees FILTER_BITS bits and no ids."""
+    word = 32_768  # bits of one row of the built-in aggregation
+    rows = places.groupBy(F.floor(F.col("at") / word).alias("row")).agg(F.expr(f"bitmap_construct_agg(at % {word})").alias("bits")).collect()
+    out = np.zeros((FILTER_BITS // word, word // 8), np.uint8)
+    for r in rows:
+        out[r["row"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def passing(batch: pa.RecordBatch, at: int, bits: bytes) -> pa.RecordBatch:
+    """The rows of a batch whose place in the filter (column number `at`) is set."""
+    place = np.asarray(batch.column(at))
+    return batch.filter(pa.array((np.frombuffer(bits, np.uint8)[place >> 3] >> (place & 7) & 1).astype(bool)))
+
+
 def joined_hot(rows: DataFrame, labels: DataFrame, keys: list[str], count: str) -> DataFrame:
     """rows left-joined with labels (one row per key, `count` telling how many rows hold it); no key gathers its rows in one task.
 

@@ -14,10 +14,10 @@ n-gram order. That order is cut vertically into fragments. Two uses:
   summed per pair, and 100 * intersection >= 85 * union decides.
 
 Equal sets are one node from the start, and a task sends a set on once however often it meets it. In a block of equal
-signatures the most central set (found in most blocks) is the head. Every set is first compared with the most central
-of its heads, then with those of its heads that are still in another component, and then all pairs across components
-that share a head are compared, if their bitmaps leave it possible. So a large group of near copies costs about as
-many comparisons as it has members.
+signatures the most central set (found in most blocks) is the head. Every set is first compared with its heads, and
+what that links is contracted; then all pairs across components that share a head are compared. Bitmaps rule most pairs
+out before sets are counted, and a filter of fixed size tells which documents must be cut again for that. So a large
+group of near copies costs about as many comparisons as it has members.
 
 Cases: fewer than four words: the whole sequence is one shingle. Null text, or one without words: empty set,
 a component of its own, no links. Null doc_id: such rows are kept, linked with nothing (component null).
@@ -158,75 +158,89 @@ def _new_sets(batches):
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(sig, d, n), a row per signature of each different set of a task."""
+    """(sig, d), a row per signature of each different set of a task."""
 
     def run(batches):
         for found in _new_sets(batches):
             sigs = [signatures(s) for _, s in found]
-            sizes = [len(x) for x in sigs]
-            ids, counts = np.repeat(np.array([d for d, _ in found], np.int64), sizes), np.repeat(np.array([len(s) for _, s in found], np.int32), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.uint64).view(np.int64)), pa.array(ids), pa.array(counts)], ["sig", "d", "n"])
+            ids = np.repeat(np.array([d for d, _ in found], np.int64), [len(x) for x in sigs])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.uint64).view(np.int64)), pa.array(ids)], ["sig", "d"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, d long, n int")
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, d long")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """Rows (sig, d, n) whose signature is that of several sets, each once; they come sorted by sig and d and are streamed, never gathered."""
+    """Rows (sig, d) whose signature is that of several sets, each once; they come sorted by sig and d and are streamed, never gathered."""
 
     def run(batches):
         held, given = None, False  # the last row so far, and whether it was given out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, d, n = (np.asarray(batch.column(k)) for k in range(3))
+            sig, d = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             if held is not None:
-                sig, d, n = (np.concatenate([[h], x]) for h, x in zip(held, (sig, d, n), strict=True))
+                sig, d = np.concatenate([[held[0]], sig]), np.concatenate([[held[1]], d])
             once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (d[1:] != d[:-1])])
-            first_given = given and bool(once[0])
-            sig, d, n = sig[once], d[once], n[once]
+            sig, d = sig[once], d[once]
             same = sig[1:] == sig[:-1]
             keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            held, given = (sig[-1], d[-1], n[-1]), bool(keep[-1]) or (first_given and len(sig) == 1)
-            if first_given:
-                keep[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(d[keep]), pa.array(n[keep])], ["sig", "d", "n"])
+            keep[0] &= not given
+            given = bool(keep[-1]) or (given and len(sig) == 1) or (len(sig) > 1 and bool(same[-1]))
+            held = sig[-1], d[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(d[keep])], ["sig", "d"])
 
-    return rows.mapInArrow(run, "sig long, d long, n int")
+    return rows.mapInArrow(run, "sig long, d long")
+
+
+def _wanted_sets(docs: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
+    """make(digests, sets) -> columns after d, for the different sets of the documents `ids` (and of a few more)."""
+    held = docs.sparkSession.sparkContext.broadcast(common.id_filter(ids))
+    names = ["d", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches):
+        for found in _new_sets(common.passing(batch, 1, held.value) for batch in batches):
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), *make([s for _, s in found])], names)
+
+    hashed = docs.where("doc_id is not null").select("text", common.filter_place("doc_id"))
+    return hashed.mapInArrow(run, f"d long, {schema}")
 
 
 _FRAGMENTS = [f"f{k}" for k in range(FRAGMENTS)]
 
 
-def _fragments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(d, n, f0, f1 ...): the wanted sets, cut into fragments of the hash order."""
+def _fragments(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(d, n, f0, f1 ...): sets cut into fragments of the hash order."""
+    cuts = [np.uint64((k << 64) // FRAGMENTS) for k in range(1, FRAGMENTS)]
 
-    def run(batches):
-        cuts = [np.uint64((k << 64) // FRAGMENTS) for k in range(1, FRAGMENTS)]
-        for found in _new_sets(batches):
-            parts = list(zip(*(np.split(s, np.searchsorted(s, cuts)) for _, s in found), strict=True))
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)), pa.array(np.concatenate(part).view(np.int64))) for part in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), *lists], ["d", "n", *_FRAGMENTS])
+    def make(sets):
+        parts = list(zip(*(np.split(s, np.searchsorted(s, cuts)) for s in sets), strict=True))
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)), pa.array(np.concatenate(part).view(np.int64))) for part in parts]
+        return [pa.array([len(s) for s in sets], pa.int64()), *lists]
 
-    made = docs.where("doc_id is not null").select("text").mapInArrow(run, "d long, n long, " + ", ".join(f"{f} array<long>" for f in _FRAGMENTS))
-    return made.join(wanted, "d", "left_semi").dropDuplicates(["d"])
+    return _wanted_sets(docs, ids, make, "n long, " + ", ".join(f"{f} array<long>" for f in _FRAGMENTS))
 
 
-def _bitmaps(fragments: DataFrame) -> DataFrame:
-    """(d, b0_, b1_ ...): a bitmap of each whole set."""
-    names = [f"b{k}_" for k in range(BITMAP)]
+_BITS = [f"b{k}_" for k in range(BITMAP)]
+
+
+def _bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(d, n, b0_, b1_ ...): a bitmap of each whole set."""
+
+    def make(sets):
+        bits = np.zeros((len(sets), BITMAP * 64), np.uint8)
+        with np.errstate(over="ignore"):
+            bits[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), (mix(np.concatenate(sets) + _M1) >> np.uint64(32)) % np.uint64(BITMAP * 64)] = 1
+        words = np.packbits(bits, axis=1).view(np.int64)
+        return [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP)]]
+
+    return _wanted_sets(docs, ids, make, "n long, " + ", ".join(f"{b} long" for b in _BITS))
 
-    def run(batch: pa.RecordBatch):
-        for part in common.rows_of(batch, 256):
-            bits = np.zeros((part.num_rows, BITMAP * 64), np.uint8)
-            for f in _FRAGMENTS:
-                column = part.column(part.schema.get_field_index(f))
-                row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(column.offsets)))
-                with np.errstate(over="ignore"):
-                    bits[row, (mix(np.asarray(column.flatten()).view(np.uint64) + _M1) >> np.uint64(32)) % np.uint64(BITMAP * 64)] = 1
-            words = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP)]], ["d", *names])
 
-    return common.map_batches(fragments.select("d", *_FRAGMENTS), run, "d long, " + ", ".join(f"{b} long" for b in names))
+def _possible(x: str, y: str) -> F.Column:
+    """Sets of sizes n{x}, n{y} and with these bitmaps may link: they differ in at least as many members as their bitmaps do in bits."""
+    sizes = F.least(f"n{x}", f"n{y}") * 100 >= F.greatest(f"n{x}", f"n{y}") * PERCENT
+    differ = functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{b}{x}").bitwiseXOR(F.col(f"{b}{y}"))) for b in _BITS])
+    return sizes & (differ * (100 + PERCENT) <= (F.col(f"n{x}") + F.col(f"n{y}")) * (100 - PERCENT))
 
 
 def _verified(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -237,66 +251,52 @@ def _verified(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     return both.select("a", "b", shared.alias("shared"), (F.col("nx") + F.col("ny")).alias("sizes")).select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("joined"))
 
 
-def _linked(pairs: DataFrame, fragments: DataFrame, label: str) -> DataFrame:
-    return common.written(_verified(pairs, fragments).where(F.col("shared") * 100 >= F.col("joined") * PERCENT).select("a", "b"), label)
+def _linked(pairs: DataFrame, docs: DataFrame, places: DataFrame, label: str) -> DataFrame:
+    """Of pairs (a, b) those that link; only their documents are cut again."""
+    ids = places.join(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "d", "left_semi").select("doc_id")
+    fragments = common.written(_fragments(docs, ids), f"{label}-fragments")
+    links = common.written(_verified(pairs, fragments).where(F.col("shared") * 100 >= F.col("joined") * PERCENT).select("a", "b").distinct(), label)
+    common.drop_written(fragments)
+    return links
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
-    Nodes are different sets, by their digests. Written stages: digests; blocks of signatures that several sets have; pairs
-    with heads; candidates' fragments; links. Each is dropped when nothing reads it any more.
+    Nodes are different sets, by their digests. Written stages: digests; blocks of signatures that several sets have; their
+    stars and bitmaps; possible pairs and links. Each is dropped when nothing reads it any more.
     """
     rows = common.written(_digests(docs), "jaccard-digests")
     sets = rows.where("n > 0 and doc_id is not null")
-    signed = _signatures(docs).repartition("sig").sortWithinPartitions("sig", "d")
-    blocks = common.written(_runs(signed), "jaccard-blocks")
+    places = sets.groupBy("d").agg(F.min("doc_id").alias("doc_id"))
+    blocks = common.written(_runs(_signatures(docs).repartition("sig").sortWithinPartitions("sig", "d")), "jaccard-blocks")
 
     # The head of a block is the set that most blocks hold: the original of a group rather than an edited copy.
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
     central = blocks.groupBy("d").agg(F.count("*").alias("blocks"))
-    ranked = blocks.join(central, "d").withColumn("p", F.min(F.struct((-F.col("blocks")).alias("k"), "d", "n")).over(Window.partitionBy("sig")))
-    stars = common.written(ranked.groupBy(F.col("p.d").alias("p"), "d").agg(F.first("p.n").alias("np"), F.first("n").alias("n"), F.first("p.k").alias("k")), "jaccard-stars")
+    ranked = blocks.join(central, "d").withColumn("p", F.min(F.struct((-F.col("blocks")).alias("k"), "d")).over(Window.partitionBy("sig")))
+    stars = common.written(ranked.select(F.col("p.d").alias("p"), "d").distinct(), "jaccard-stars")
     common.drop_written(blocks)
-    fit = stars.where("d <> p").where(near(F.col("n"), F.col("np")))
-    pairs = common.written(fit.select(F.col("p").alias("a"), F.col("d").alias("b"), "k"), "jaccard-pairs")
-    wanted = stars.where("d <> p").select(F.explode(F.array("p", "d")).alias("d")).distinct()
-    fragments = common.written(_fragments(docs, wanted), "jaccard-fragments")
-
-    # Each set is first held against the most central of its heads alone; what that links needs no other comparison.
-    best = pairs.groupBy("b").agg(F.min(F.struct("k", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = [_linked(best, fragments, "jaccard-best")]
+    members = stars.where("d <> p").select(F.explode(F.array("p", "d")).alias("d")).distinct()
+    maps = common.written(_bitmaps(docs, places.join(members, "d", "left_semi").select("doc_id")).dropDuplicates(["d"]), "jaccard-bitmaps")
+    side = lambda name, k: maps.select(F.col("d").alias(name), *[F.col(x).alias(f"{x}{k}") for x in ("n", *_BITS)])
+    pairs = common.written(stars.where("d <> p").join(side("d", 1), "d").join(side("p", 2), "p").where(_possible("1", "2")).select(F.col("p").alias("a"), F.col("d").alias("b")), "jaccard-pairs")
+    links = [_linked(pairs, docs, places, "jaccard-links")]
     repeated = sets.select("doc_id", "d").distinct().groupBy("doc_id").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z")
     links.append(sets.join(repeated, "doc_id").where("d > a").select("a", F.col("d").alias("b")).distinct())  # texts of one doc_id
     union = lambda: functools.reduce(DataFrame.unionByName, links)
     found = common.components(union(), "jaccard-first")
 
-    def apart(rows: DataFrame, a: str, b: str) -> DataFrame:
-        """rows whose a and b are in different components so far."""
-        for c in (a, b):
-            rows = rows.join(found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-        return rows.where(F.col(f"c_{a}") != F.col(f"c_{b}"))
-
-    others = apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), "a", "b").select("a", "b")
-    links.append(_linked(others, fragments, "jaccard-others"))
-    if not links[-1].isEmpty():
-        found = common.components(union(), "jaccard-second")
-
-    # All pairs across components that share a head. Two sets differ in at least as many members as their bitmaps
-    # do in bits, which rules most out where the pair is made.
-    placed = stars.select("p", "d", "n").join(found.select(F.col("node").alias("d"), "component"), "d", "left").select("p", "d", "n", F.coalesce("component", "d").alias("c"))
-    open_ = placed.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x < y and k > 2").select("p")
-    rest = placed.where("d <> p").join(open_, "p", "left_semi")  # with the head itself all were compared
-    rest = common.written(rest.join(_bitmaps(fragments.join(rest.select("d").distinct(), "d", "left_semi")), "d"), "jaccard-open")
-    one, two = (rest.select("p", *[F.col(x).alias(f"{x}{side}") for x in rest.columns if x != "p"]) for side in (1, 2))
-    differ = sum((F.bit_count(F.col(f"b{k}_1").bitwiseXOR(F.col(f"b{k}_2"))) for k in range(1, BITMAP)), F.bit_count(F.col("b0_1").bitwiseXOR(F.col("b0_2"))))
-    cross = one.join(two, "p").where("d1 < d2 and c1 <> c2").where(near(F.col("n1"), F.col("n2")))
-    cross = cross.where(differ * (100 + PERCENT) <= (F.col("n1") + F.col("n2")) * (100 - PERCENT))
+    # All pairs across components that share a head, as far as their bitmaps leave them possible where the pair is made.
+    placed = stars.where("d <> p").join(found.select(F.col("node").alias("d"), "component"), "d", "left").select("p", "d", F.coalesce("component", "d").alias("c"))
+    open_ = placed.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("p")
+    rest = common.written(placed.join(open_, "p", "left_semi").join(maps, "d"), "jaccard-open")
+    one, two = (rest.select("p", *[F.col(x).alias(f"{x}{k}") for x in rest.columns if x != "p"]) for k in (1, 2))
+    cross = one.join(two, "p").where("d1 < d2 and c1 <> c2").where(_possible("1", "2"))
     cross = common.written(cross.select(F.col("d1").alias("a"), F.col("d2").alias("b")).distinct(), "jaccard-cross")
-    links.append(_linked(cross, fragments, "jaccard-more"))
-    if not links[-1].isEmpty():
+    if not cross.isEmpty():
+        links.append(_linked(cross, docs, places, "jaccard-more"))
         found = common.components(union(), "jaccard-all")
-    common.drop_written(fragments, stars, rest, pairs, cross)
+    common.drop_written(stars, maps, rest, pairs, cross)
 
     least = sets.groupBy("d").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(found.select(F.col("node").alias("d"), "component"), "d", "left")
     least = least.select("d", "least", "copies", F.coalesce("component", "d").alias("c"))
