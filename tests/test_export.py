@@ -32,28 +32,35 @@ def write(path, records, name="conversations-000.json"):
     return str(path)
 
 
-def test_parse_tree():
-    got = C.parse_record(export()[0])
-    assert [(m["message_id"], m["sequence_number"], m["is_on_current_branch"], m["parent_message_id"]) for m in got["messages"]] == [("u", 0, True, None), ("a1", 1, False, "u"), ("a2", 2, True, "u")]
-    assert got["messages"][2]["text"] is None
-    got = C.parse_record(export()[3])
-    assert sorted(got["warnings"]) == ["message_node_not_an_object", "message_not_an_object"]
-    assert [(m["content_type"], m["text"]) for m in got["messages"]] == [("thoughts", None), ("reasoning_recap", "kept recap garden")]
-    assert got["conversation_id"].startswith("missing-id-") and len(got["conversation_id"]) == 35
-    assert C.parse_record(export()[1])["messages"][1]["text"] == "herbs picture\nmore herbs"
-    assert C.parse_record({"id": 1})["warnings"] == ["conversation_mapping_missing"]
-
-
-def test_deep_orphaned_and_cyclic_trees():
+def parsed(spark, *records):
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "record_number long, raw string")
+    return [r.asDict(recursive=True) for r in C.parse(rows).orderBy("record_number").collect()]
+
+
+def test_parse_tree(spark):
+    first, second, third, other = parsed(spark, *[export()[k] for k in (0, 1, 3)], {"id": 1})
+    assert [(m["message_id"], m["sequence_number"], m["is_on_current_branch"], m["parent_message_id"]) for m in first["messages"]] == [("u", 0, True, None), ("a1", 1, False, "u"), ("a2", 2, True, "u")]
+    assert first["messages"][2]["text"] is None and first["messages"][1]["role"] == "assistant" and str(first["created_at"]) == "2024-03-01 00:00:00"
+    assert sorted(third["warnings"]) == ["message_node_not_an_object", "message_not_an_object"]
+    assert [(m["content_type"], m["text"]) for m in third["messages"]] == [("thoughts", None), ("reasoning_recap", "kept recap garden")]
+    assert third["conversation_id"].startswith("missing-id-") and len(third["conversation_id"]) == 35
+    assert second["messages"][1]["text"] == "herbs picture\nmore herbs"
+    assert other["warnings"] == ["conversation_mapping_missing"] and other["messages"] is None
+
+
+def test_deep_orphaned_and_cyclic_trees(spark):
     deep = {f"n{i}": node(f"n{i}", f"n{i - 1}" if i else None, "x", i) for i in range(3000)}
-    assert [m["message_id"] for m in C.parse_record({"id": "d", "mapping": deep})["messages"]] == [f"n{i}" for i in range(3000)]
     odd = {"a": node("a", "b", "x", 2), "b": node("b", "a", "x", 1), "o": node("o", "gone", "x", "2024-01-01")}
-    assert [m["message_id"] for m in C.parse_record({"id": "o", "mapping": odd, "current_node": "a"})["messages"]] == ["o", "b", "a"]
+    deeper, odder, none = parsed(spark, {"id": "d", "mapping": deep}, {"id": "o", "mapping": odd, "current_node": "a"}, {"id": "e", "mapping": {}})
+    assert [m["message_id"] for m in deeper["messages"]] == [f"n{i}" for i in range(3000)]
+    assert [m["message_id"] for m in odder["messages"]] == ["o", "b", "a"] and [m["is_on_current_branch"] for m in odder["messages"]] == [False, True, True]
+    assert none["messages"] == [] and none["conversation_id"] == "e"
 
 
-def test_times():
-    assert str(C.when(True)) == "1970-01-01 00:00:01" and C.when(1e30) is None and C.when("soon") is None and C.when(float("nan")) is None
-    assert str(C.when("2024-04-02T10:00:00Z")) == "2024-04-02 10:00:00"
+def test_times(spark):
+    values = [True, 1e30, "soon", "2024-04-02T10:00:00Z", "2024-04-02T10:00:00+02:00", 1709251200.5, "5", None, [1], "2024"]
+    got = [r["created_at"] for r in parsed(spark, *[{"id": "x", "mapping": {}, "create_time": v} for v in values])]
+    assert [None if t is None else str(t) for t in got] == ["1970-01-01 00:00:01", None, None, "2024-04-02 10:00:00", "2024-04-02 10:00:00", "2024-03-01 00:00:00.500000", None, None, None, None]
 
 
 def test_containers(spark, tmp_path):
