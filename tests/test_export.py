@@ -109,8 +109,12 @@ def test_import_search_and_soft_deletion(spark, tmp_path):
         with pytest.raises(ApiError) as e:
             call()
         assert e.value.status == status
-    write(tmp_path / "e", export()[:2])
+    changed = export()[:2]
+    changed[0]["mapping"]["a1"]["message"]["content"]["parts"] = ["a zebra among tulips"]
+    write(tmp_path / "e", changed)
     importer.import_export(spark, path, store)
+    assert [api.search_events(q)["total"] for q in ("zebra", "answer", "garden", "recap")] == [1, 0, 5, 0]  # at once, and nothing that went
+    assert store.read("search_statistics").first()["n_all"] == store.read("events").count()
     active = store.read("events").groupBy("is_active").count().collect()
     assert {r["is_active"]: r["count"] for r in active} == {True: 7, False: 3}
 

@@ -51,6 +51,11 @@ def test_folding(spark):
     df = spark.createDataFrame([("Straße ＡＢＣ",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(T.exact_fold("t")).collect()] == ["strasse abc", None, ""]
     assert df.select(T.fold(F.col("t"))).first()[0].startswith("strasse")
+    import unicodedata
+
+    every = [chr(i) + "x" for i in range(32, 0x2200) if chr(i).isprintable()] + ["ΣΟΦΟΣ", "ｆｕｌｌ", "cafe\u0301"]
+    got = spark.createDataFrame([(x,) for x in every], "t string").select("t", T.fold(F.col("t"))).collect()
+    assert [(a, b) for a, b in got if b != unicodedata.normalize("NFKC", a).casefold()] == []
     words = spark.createDataFrame([(["a", "b", "b", "c"],), (["a"],), ([],)], "w array<string>")
     assert [r[0] for r in words.select(T.bigrams(F.col("w"))).collect()] == [["a b", "b c"], [], []]
 
@@ -87,6 +92,33 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("s", "1", "x"), ("s", "2", "z"), ("s", "3", None)]
 
 
+def test_of_rows_that_repeat_a_key_the_latest_counts(spark):
+    kind = "source_id string, source_record_id string, v string, updated_at timestamp_ntz"
+    old = spark.createDataFrame([], kind)
+    new = spark.sql("select 's' source_id, '1' source_record_id, v, cast(t as timestamp_ntz) updated_at from values ('late', '2024-02-01'), ('early', '2024-01-01') as x(v, t)")
+    assert store.upsert(old, new, ["source_id", "source_record_id"]).first()["v"] == "late"
+
+
+def test_store_names_tables_in_manifests(spark, tmp_path):
+    one, two = store.Store(spark, str(tmp_path / "s")), store.Store(spark, str(tmp_path / "s"))
+    assert one.read("a") is None and one.commit({"a": spark.range(3), "b": spark.range(1)}) == 1
+    before = one.manifest()
+    assert two.commit({"a": spark.range(5)}) == 2 and one.read("a").count() == 5 and one.manifest()["b"] == before["b"]
+    late = store.Store(spark, str(tmp_path / "s"))
+    late.version = lambda: 1  # a writer that began before the second commit
+    with pytest.raises(RuntimeError, match="store_was_committed_meanwhile"):
+        late.commit({"a": spark.range(9)})
+    assert one.read("a").count() == 5
+
+
+def test_snippet_takes_the_best_window(spark):
+    from threadloom.operators import search
+
+    words = ["the"] + ["x"] * 60 + ["the", "y", "and"] + ["z"] * 60
+    got = spark.createDataFrame([(" ".join(words),), ("the end",), (None,)], "t string").select(search.window_snippet(F.col("t"), "the and")).collect()
+    assert "the y and" in got[0][0] and len(got[0][0].split()) == 34 and got[1][0] == "the end" and got[2][0] == ""
+
+
 def test_stream_matches_batch(spark, tmp_path):
     from threadloom.operators.store import Store
     from threadloom.schema import schema

@@ -65,9 +65,9 @@ class Api:
 
     def build_topics(self, least: int = 5, most: int = 500, per_event: int = 5) -> dict[str, int]:
         """Rebuild topics; those of other categories than keyword stay."""
-        made = topics.build_topics(self.store.read("events"), least, most, per_event, exact=True)
+        made = topics.build_topics(self.store.read("events"), least, most, per_event)
         old = self.store.read("topics")
-        self.store.commit({"topics": made.topics if old is None else topics.replace_keyword_topics(old, made.topics), "event_topics": made.event_topics, "topic_relations": made.relations, "postings": search.postings(self.store.read("events")).sort("term")})
+        self.store.commit({"topics": made.topics if old is None else topics.replace_keyword_topics(old, made.topics), "event_topics": made.event_topics, "topic_relations": made.relations})
         return rows(made.counters)[0]
 
     def health(self) -> dict[str, str]:
@@ -105,7 +105,10 @@ class Api:
 
     def _page(self, every: DataFrame, cut: Callable[[DataFrame, int, int], DataFrame], limit: int, offset: int) -> dict[str, Any]:
         _bounded(limit, 1, 100, "limit"), _bounded(offset, 0, None, "offset")
-        return {"total": every.count(), "limit": limit, "offset": offset, "items": rows(cut(every, limit, offset))}
+        every = every.cache()  # read by the count and by the page
+        out = {"total": every.count(), "limit": limit, "offset": offset, "items": rows(cut(every, limit, offset))}
+        every.unpersist()
+        return out
 
     def occurrences(self, topic_id: str, limit: int = 20, offset: int = 0, privacy: str = "private", **filters: Any) -> dict[str, Any]:
         events, names, event_topics, _ = self._tables()
@@ -116,13 +119,17 @@ class Api:
     def search_events(self, q: str, limit: int = 20, offset: int = 0, privacy: str = "private", **filters: Any) -> dict[str, Any]:
         _bounded(len(q), 1, 200, "q")
         events, *_ = self._tables()
-        index = self.store.read("postings")
+        _bounded(limit, 1, 100, "limit"), _bounded(offset, 0, None, "offset")
+        index, stats = self.store.read("postings"), self.store.read("search_statistics")
         try:
-            found = search.search_events(events, search.postings(events) if index is None else index, q, privacy=_privacy(privacy), **filters)
+            found = search.search_events(events, search.postings(events) if index is None else index, q, privacy=_privacy(privacy), stats=stats, **filters).cache()
         except ValueError as e:
             raise ApiError(422, str(e)) from e
-        out = self._page(found, search.search_page, limit, offset)
-        return out | {"items": [{k: v for k, v in i.items() if k != "bm25"} for i in out["items"]]}
+        page = search.with_snippets(search.search_page(found, limit, offset), events, q)
+        items = rows(search.search_page(page, limit))
+        out = {"total": found.count(), "limit": limit, "offset": offset, "items": [{k: v for k, v in i.items() if k != "bm25"} for i in items]}
+        found.unpersist()
+        return out
 
     def context(self, event_id: str, before: int = 2, after: int = 2) -> dict[str, Any]:
         _bounded(before, 0, 10, "before"), _bounded(after, 0, 10, "after")

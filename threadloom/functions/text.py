@@ -28,17 +28,23 @@ STOPWORDS = tuple(sorted({*ENGLISH.split(), *POLISH.split(), *SWEDISH.split()}))
 SNIPPET = 280
 
 
-def fold(text: Column) -> Column:
-    """Case folding for text that NFKC leaves as it is: lower case, and ß as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-
-
 @F.pandas_udf(StringType())
 def exact_fold(text: pd.Series) -> pd.Series:
-    """NFKC, then full case folding; for text that `fold` does not cover."""
+    """NFKC, then full case folding, of any text."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
+#: Characters that NFKC leaves alone and whose full case folding is lower case, or ss for ß: ASCII, Latin letters with a
+#: diacritic of their own, and the commonest marks. A text of these is folded natively.
+PLAIN = r"^[\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2010\u2013\u2014\u2018-\u201E\u2022]*$"
+
+
+def fold(text: Column) -> Column:
+    """NFKC and full case folding: native for texts of plain characters (nearly all), by `exact_fold` for the others alone."""
+    plain = text.rlike(PLAIN)
+    return F.when(plain, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(exact_fold(F.when(~plain, text)))
+
+
 def tokens(folded: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Runs of at least three letters that are no stopwords, in order."""
     found = F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{Nl}\p{No}]{3,}"), F.lit(0))

@@ -1,8 +1,9 @@
-"""Snapshots: upsert, soft deletion, versioned folders with a pointer, run log; timestamps of exports."""
+"""Snapshots: upsert, soft deletion, tables under manifests, run log; timestamps of exports."""
 
 from __future__ import annotations
 
 import datetime
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: list[str] | None = None) -> DataFrame:
-    """Rows of both by key: new values win, except in the columns of keep_old. One shuffle on the keys."""
+    """Rows of both by key: new values win, except in the columns of keep_old. Of new rows that repeat a key the largest counts,
+    in the order of `updated_at` where there is one, then of all columns."""
     keep = set(keep_old or [])
-    new = new.dropDuplicates(keys)
-    a, b = old.select(F.struct(*old.columns).alias("a"), *keys), new.select(F.struct(*old.columns).alias("b"), *keys)
+    rank = [c for c in ("updated_at",) if c in old.columns]
+    plain = [f.name for f in old.schema if f.dataType.typeName() != "map"]
+    b = new.groupBy(*keys).agg(F.max_by(F.struct(*old.columns), F.struct(*rank, *plain)).alias("b"))
+    a = old.select(F.struct(*old.columns).alias("a"), *keys)
     both = a.join(b, keys, "full_outer")
     pick = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")) if c in keep else F.when(F.col("b").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
     return both.select(*[(F.col(c) if c in keys else pick(c).alias(c)) for c in old.columns])
@@ -39,10 +43,11 @@ def monthly_counts(events: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables as versioned Parquet folders; readers follow the newest committed version.
+    """Tables as Parquet folders of their own, named in one manifest per commit; readers follow the newest manifest.
 
-    A commit writes all tables of the next version and then one small pointer file named after it, which the
-    file system creates whole or not at all. A failed import leaves no pointer and so no trace for readers.
+    A commit writes only the tables it changes, each into a folder with a name of its own, and then the manifest: a small file
+    named after the version, which the file system creates whole or not at all. A failed commit leaves folders that no
+    manifest names; of two writers the second to make the manifest fails, and the first one's tables stand.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -52,26 +57,42 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        folder = self._path(f"{self.root}/commits")
+        folder = self._path(f"{self.root}/manifests")
         if not self._fs.exists(folder):
             return 0
         return max([0, *(int(f.getPath().getName()) for f in self._fs.listStatus(folder) if f.getPath().getName().isdigit())])
 
+    def manifest(self, version: int | None = None) -> dict[str, str]:
+        """Folder of each table as of a version, the newest by default."""
+        version = self.version() if version is None else version
+        if not version:
+            return {}
+        place = self._path(f"{self.root}/manifests/{version}")
+        stream = self._fs.open(place)
+        try:
+            return json.loads(bytes(stream.readNBytes(int(self._fs.getFileStatus(place).getLen()))).decode())
+        finally:
+            stream.close()
+
     def read(self, name: str) -> DataFrame | None:
-        place = f"{self.root}/v{self.version()}/{name}"
-        return self.spark.read.parquet(place) if self._fs.exists(self._path(place)) else None
+        folder = self.manifest().get(name)
+        return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write the tables as the next version; tables not given are carried over."""
+        """Write these tables and name them, with the unchanged others, as the next version."""
         now = self.version()
-        carried = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/v{now}"))] if now and self._fs.exists(self._path(f"{self.root}/v{now}")) else []
-        for name in carried:
-            if name not in tables:
-                tables[name] = self.spark.read.parquet(f"{self.root}/v{now}/{name}")
+        named = self.manifest(now)
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v{now + 1}/{name}")
-        self._fs.mkdirs(self._path(f"{self.root}/commits"))
-        if not self._fs.createNewFile(self._path(f"{self.root}/commits/{now + 1}")):
+            named[name] = f"{name}/{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{named[name]}")
+        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
+        # Written aside and renamed: a rename does not replace an existing file.
+        aside, place = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifests/{now + 1}")
+        stream = self._fs.create(aside)
+        stream.write(bytearray(json.dumps(named).encode()))
+        stream.close()
+        if self._fs.exists(place) or not self._fs.rename(aside, place):
+            self._fs.delete(aside, False)
             raise RuntimeError("store_was_committed_meanwhile")
         return now + 1
 

@@ -24,10 +24,9 @@ def fallback_context() -> F.Column:
     return F.coalesce(F.nullif(F.col("context_id"), F.lit("")), F.col("event_id"))
 
 
-def term_counts(events: DataFrame, exact: bool = False) -> DataFrame:
+def term_counts(events: DataFrame) -> DataFrame:
     """(event_id, term, tf): unigrams and bigrams of the analysed events."""
-    folded = T.exact_fold(F.col("text")) if exact else T.fold(F.col("text"))
-    words = analysed(events).select("event_id", T.tokens(folded).alias("w"))
+    words = analysed(events).select("event_id", T.tokens(T.fold(F.col("text"))).alias("w"))
     terms = words.select("event_id", F.explode(F.concat("w", T.bigrams(F.col("w")))).alias("term"))
     return terms.groupBy("event_id", "term").agg(F.count("*").alias("tf"))
 
@@ -91,8 +90,8 @@ class Topics:
     counters: DataFrame
 
 
-def build_topics(events: DataFrame, least: int = 5, most: int = 500, per_event: int = 5, exact: bool = False) -> Topics:
-    counts = term_counts(events, exact).cache()  # read three times: totals, N and scores
+def build_topics(events: DataFrame, least: int = 5, most: int = 500, per_event: int = 5) -> Topics:
+    counts = term_counts(events).cache()  # read three times: totals, N and scores
     assigned = assignments(counts, select_terms(counts, least, most), per_event).cache()
     topics, relations = topic_rows(assigned, events), relation_rows(assigned, events)
     one = lambda df, name: df.agg(F.count("*").alias(name))

@@ -176,9 +176,19 @@ _entry("node_sizes", _with(_graph_sql(_ACTIVE, 2, 0.0, 100), "SELECT topic_id, r
 _entry("edge_sizes", _with(_graph_sql(_ACTIVE, 2, 0.15, 100), "SELECT source_topic_id, target_topic_id, round(least(2.2, 0.2 + 2 * sqrt(weight)), 9) AS size FROM edges"))(lambda w: graph.edge_sizes(_graph(w, min_relation_weight=0.15)[1]).withColumn("size", F.round("size", 9)))
 _entry("fts_match_and", _with(_FTS, "SELECT event_id FROM hit"))(lambda w: search.match_all(search.postings(w.events), QUERY))
 _entry("fts_bm25_page", _with(_FTS, f"SELECT e.event_id, timestamp_start AS occurred_at, role, title AS conversation_title, source_record_id, round(bm25, 9) AS bm25 FROM score JOIN ev e USING (event_id) WHERE {_ACTIVE} ORDER BY score.bm25, timestamp_start DESC NULLS LAST, e.event_id LIMIT 20"))(
-    lambda w: search.search_page(search.search_events(w.events, search.postings(w.events), QUERY)).drop("snippet").withColumn("bm25", F.round("bm25", 9))
+    lambda w: search.search_page(search.search_events(w.events, search.postings(w.events), QUERY)).withColumn("bm25", F.round("bm25", 9))
 )
-_entry("fts_snippet", None)(lambda w: search.search_page(search.search_events(w.events, search.postings(w.events), QUERY)).select("event_id", "snippet"))
+_BEST = rf"""{_FTS},
+page AS (SELECT e.event_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM score JOIN ev e USING (event_id) WHERE {_ACTIVE} ORDER BY score.bm25, timestamp_start DESC NULLS LAST, e.event_id LIMIT 20),
+hits AS (SELECT event_id, i FROM (SELECT event_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM page) WHERE list_has_any(regexp_extract_all(strip_accents(lower(ws[i])), '[\p{{L}}\p{{N}}]+'), ['and', 'the'])),
+toks AS (SELECT event_id, i, t FROM (SELECT event_id, i, unnest(regexp_extract_all(strip_accents(lower(ws[i])), '[\p{{L}}\p{{N}}]+')) AS t FROM (SELECT event_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM page)) WHERE t IN ('and', 'the')),
+wins AS (SELECT h.event_id, h.i, count(DISTINCT t) AS n, max(toks.i) AS z FROM hits h JOIN toks ON toks.event_id = h.event_id AND toks.i BETWEEN h.i AND h.i + 31 GROUP BY ALL),
+best AS (SELECT event_id, i, z FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, i) AS r FROM wins) WHERE r = 1),
+placed AS (SELECT event_id, ws, greatest(1, least(coalesce(i, 1) - greatest((32 - (coalesce(z, 1) - coalesce(i, 1) + 1)) // 2, 0), len(ws) - 31)) AS s FROM page LEFT JOIN best USING (event_id)),
+cut AS (SELECT event_id, (CASE WHEN s > 1 THEN ' … ' ELSE '' END) || array_to_string(ws[s : s + 31], ' ') || (CASE WHEN s + 32 <= len(ws) THEN ' … ' ELSE '' END) AS c FROM placed)"""
+_entry("fts_snippet", _with(_BEST, rf"SELECT event_id, {_SNIP} AS snippet FROM (SELECT event_id, trim(regexp_replace(c, '\s+', ' ', 'g')) AS f FROM cut)"))(
+    lambda w: search.with_snippets(search.search_page(search.search_events(w.events, search.postings(w.events), QUERY)), w.events, QUERY).select("event_id", "snippet")
+)
 _entry("best_child", _with(views.MESSAGES_SQL, "SELECT parent_message_key AS key, event_id AS child FROM (SELECT *, row_number() OVER (PARTITION BY parent_message_key ORDER BY CASE WHEN is_on_current_branch THEN 0 ELSE 1 END, sequence_number) AS r FROM msg WHERE parent_message_key IS NOT NULL) WHERE r = 1"))(lambda w: context.best_children(w.messages))
 _WALK = f"""RECURSIVE {views.MESSAGES_SQL}, {_EV},
 best AS (SELECT parent_message_key AS key, event_id AS child FROM (SELECT *, row_number() OVER (PARTITION BY parent_message_key ORDER BY CASE WHEN is_on_current_branch THEN 0 ELSE 1 END, sequence_number) AS r FROM msg WHERE parent_message_key IS NOT NULL) WHERE r = 1),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import stable_id
+from threadloom.operators import search
 from threadloom.operators import store as S
 from threadloom.schema import schema
 from threadloom.sources import chat_export
@@ -54,6 +55,9 @@ def import_export(spark: SparkSession, path: str, store: S.Store, source_id: str
     tables = {"events": new["events"] if old["events"] is None else S.replace_source(old["events"], new["events"], source_id)}
     for name, keys in (("conversations", ["conversation_id"]), ("messages", ["message_key"])):
         tables[name] = new[name] if old[name] is None else S.upsert(old[name], new[name], keys)
+    index = store.read("postings")
+    tables["postings"] = search.postings(tables["events"]).sort("term") if index is None or old["events"] is None else search.updated(index, old["events"], tables["events"])
+    tables["search_statistics"] = search.statistics(tables["events"], tables["postings"])
     digest = hashlib.sha256(os.path.realpath(path).encode()).hexdigest()
     source = spark.sql("select 1").select(F.lit(source_id).alias("source_id"), F.lit("chatgpt").alias("source_type"), F.lit(source_name).alias("name"), F.current_timestamp().cast("timestamp_ntz").alias("imported_at"), F.lit(None).cast("string").alias("source_version"), F.lit(digest).alias("original_path_hash"), F.create_map(F.lit("format"), F.lit("openai_chatgpt_export")).alias("metadata"))
     tables["sources"] = source if old["sources"] is None else S.upsert(old["sources"], source, ["source_id"])
