@@ -178,6 +178,9 @@ def test_mixing(spark):
         taken[r["source"]] = taken.get(r["source"], 0) + len((r["text"] or "").split())
     assert all(abs(taken[s] - target[s]) < 0.25 * target[s] + 40 for s in size)
     assert mixing.mix(df.withColumn("size", F.lit("mine"))).columns == [*df.columns, "size"]
+    nameless = spark.createDataFrame([(None, f"{t or ''} {i}", lang, s, 0) for i, t, lang, s, _ in rows], DOCS)
+    share = mixing.mix(nameless.where("source = 'c'").withColumn("source", F.lit("a")).unionByName(nameless.where("source = 'a'"))).count() / nameless.where("source in ('a', 'c')").count()
+    assert 1.2 < share < 1.8  # one draw for all null ids would give a whole number
     assert mixing.mix(df.limit(0)).count() == 0 and sorted(r[0] for r in mixing.mix(df).select("doc_id").collect()) == sorted(r[0] for r in mixing.mix(df.repartition(7)).select("doc_id").collect())
 
 

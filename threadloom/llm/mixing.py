@@ -8,7 +8,8 @@ source with repetition rate r is emitted floor(r) times and once more with proba
 decided by a hash of its id, so reruns agree whatever the partitions.
 
 Cases: null source is a source of its own, last in order. Null or empty text: size 0. A source without
-words has target 0 and takes nothing. Repeated rows share a decision when they share doc_id and text.
+words has target 0 and takes nothing. Rows that repeat a doc_id share a decision; rows with a null one share it when
+they share the text.
 Empty input: no rows. Extra columns are kept by `mix`.
 """
 
@@ -47,14 +48,19 @@ def rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     return per.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
+def mix_key() -> F.Column:
+    """What decides a document's draw: its id, or where that is null its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.col("text").cast("binary"))), F.lit("null")).alias("mix_key")
+
+
 def draw(seed: str = "mix") -> F.Column:
-    """A number in [0, 1) from the document's id and size, the same in every run and in other SQL engines."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """A number in [0, 1) from the document's key, the same in every run and in other SQL engines."""
+    key = F.concat(F.lit(f"{seed}:"), F.col("mix_key"))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
-    """sized (source, size, doc_id and more) with source_size, target and copies.
+    """sized (source, size, mix_key and more) with source_size, target and copies.
 
     The per-source table has one row per source; it is joined by Spark's own choice, which broadcasts
     it only below the session's size limit.
@@ -62,18 +68,18 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     per = rates(sized, weights, budget).withColumnRenamed("source", "mix_source")
     joined = sized.join(per, sized["source"].eqNullSafe(per["mix_source"])).drop("mix_source")
     whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + (draw() < F.col("rate") - whole).cast("int")).cast("int")).drop("rate")
+    return joined.withColumn("copies", (whole + (draw() < F.col("rate") - whole).cast("int")).cast("int")).drop("rate", "mix_key")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
     """The mixed rows, each document as often as it is taken, columns as in docs."""
-    made = copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count().alias("size")), weights, budget)
+    made = copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", mix_key(), word_count().alias("size")), weights, budget)
     return made.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, size, source_size, target, taken. Sizes are counted once and written."""
-    sized = common.written(common.table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+    sized = common.written(common.table(spark, sf_dir, "documents").select("doc_id", "source", mix_key(), word_count().alias("size")), "mix-sizes")
     return copies(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 

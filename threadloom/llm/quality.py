@@ -158,13 +158,16 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return common.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, stats array<double>")
 
 
+def marked(labels: DataFrame, column: str, mod: int, held: int, limit: int) -> DataFrame:
+    """(doc_id, label) of about `limit` labelled ids at most, never of held-out ones."""
+    marks = labels.where(remainder(mod) != held).where(F.col(column).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).distinct()
+    n = marks.count()
+    return marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n)) if n > limit else marks
+
+
 def labelled_rows(keyed: DataFrame, labels: DataFrame, column: str, mod: int, held: int, limit: int) -> list:
     """Collect (value, label) of about `limit` labelled rows at most, never of held-out ones."""
-    marks = labels.where(remainder(mod) != held).where(F.col(column).isNotNull()).select("doc_id", F.col(column).cast("int").alias("label")).distinct()
-    n = marks.count()
-    if n > limit:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
-    return keyed.join(marks, "doc_id").drop("doc_id").collect()
+    return keyed.join(marked(labels, column, mod, held, limit), "doc_id").drop("doc_id").collect()
 
 
 def fit(stats: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Discriminant:
@@ -192,10 +195,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not rejected, all columns as they are.
 
-    The fit reads statistics of the labelled rows alone; scoring is one narrow pass that carries the
-    other columns along, so texts are never joined or shuffled.
+    The fit makes statistics of the labelled rows alone: their ids, FIT_ROWS or so at most, are broadcast under that bound.
+    Scoring is one narrow pass that carries the other columns along, so texts are never shuffled.
     """
-    model = fit(document_statistics(docs), labels)
+    chosen = marked(labels, "quality", 4, 2, FIT_ROWS).select("doc_id").distinct()
+    model = fit(document_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")), labels)
 
     def run(batch: pa.RecordBatch):
         at = batch.schema.get_field_index("text")
