@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ HOT_SHARE = 10_000
 #: Bits of the filter that tells which rows a later pass needs: a fixed size, 4 MB at every size of the input. Where it is
 #: too small to rule rows out, the joins behind it do.
 FILTER_BITS = 1 << 25
+#: Bytes of an Arrow batch between Spark and Python, where the session does not set its own, and of texts in one slice of it.
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ASCII_SPACE = str.maketrans({c: " " for c in "\t\n\v\f\r"})
 
 
@@ -76,6 +80,14 @@ def drop_written(*frames: DataFrame, shuffles: bool = True) -> None:
         frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, since ten thousand long texts would fill a worker's memory."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) is None:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """One Arrow batch in, any number out; batches are the only unit held in memory."""
 
@@ -83,7 +95,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
         for batch in batches:
             yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -92,9 +104,16 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def rows_of(batch: pa.RecordBatch, step: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, so that what is derived from long texts stays small."""
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+    """Slices of a batch, of at most `step` rows and about SLICE_BYTES of texts, so that what is derived from long texts
+    stays small. A text is never cut."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    part = np.cumsum(size) // SLICE_BYTES
+    edges = np.union1d(np.arange(0, batch.num_rows, step), np.flatnonzero(part[1:] != part[:-1]) + 1)
+    for at, end in zip(edges, np.append(edges[1:], batch.num_rows), strict=False):
+        yield batch.slice(at, end - at)
 
 
 def filter_place(column: str) -> F.Column:

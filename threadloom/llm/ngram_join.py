@@ -166,7 +166,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
             ids = np.repeat(np.array([d for d, _ in found], np.int64), [len(x) for x in sigs])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.uint64).view(np.int64)), pa.array(ids)], ["sig", "d"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, d long")
+    return common.map_stream(docs.where("doc_id is not null").select("text"), run, "sig long, d long")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _runs(rows: DataFrame) -> DataFrame:
             held = sig[-1], d[-1]
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(d[keep])], ["sig", "d"])
 
-    return rows.mapInArrow(run, "sig long, d long")
+    return common.map_stream(rows, run, "sig long, d long")
 
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
@@ -202,7 +202,7 @@ def _wanted_sets(docs: DataFrame, ids: DataFrame, make, schema: str) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), *make([s for _, s in found])], names)
 
     hashed = docs.where("doc_id is not null").select("text", common.filter_place("doc_id"))
-    return hashed.mapInArrow(run, f"d long, {schema}")
+    return common.map_stream(hashed, run, f"d long, {schema}")
 
 
 _FRAGMENTS = [f"f{k}" for k in range(FRAGMENTS)]

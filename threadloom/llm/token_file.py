@@ -142,7 +142,7 @@ def encoded(docs: DataFrame, meta: tuple[str, ...] = (), path: str | None = None
                     [*COLUMNS, *[f.name for f in kept]],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return common.map_stream(rows, run, schema)
 
 
 def write_tokens(docs: DataFrame, to: str, meta: tuple[str, ...] = (), path: str | None = None, end_id: int = END_ID) -> None:
