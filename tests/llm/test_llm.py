@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -506,3 +507,13 @@ def test_pipeline_stages(spark):
         assert rows.columns == start.columns
     out = corpus_pipeline.STAGES[-1][1](spark, rows, DATA)
     assert out.count() == rows.count() and out.agg(F.max(F.col("start") + F.col("n_tokens")) == F.sum("n_tokens")).first()[0]
+
+
+def test_slices_are_bounded_by_bytes_and_lose_nothing():
+    texts = ["a" * (common.SLICE_BYTES * 2) if i in (3, 4, 700) else None if i == 9 else "x" * 3000 for i in range(1300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(common.rows_of(batch))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(1300))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert max(p.num_rows for p in parts) <= 512 and all(sum(len(x or "") for x in p.column(1).to_pylist()) <= 3 * common.SLICE_BYTES for p in parts)
+    assert list(common.rows_of(batch.slice(0, 0))) == []
