@@ -35,6 +35,11 @@ def meta(events: DataFrame, topics: DataFrame, event_topics: DataFrame, relation
     return span.crossJoin(categories).crossJoin(used).crossJoin(relations.agg(F.count("*").alias("relation_count")))  # rows of one
 
 
+def source_types(sources: DataFrame, events: DataFrame) -> DataFrame:
+    """Types of the sources that have active events, by name."""
+    return sources.join(events.where("is_active").select("source_id"), "source_id", "left_semi").select("source_type").distinct().orderBy("source_type")
+
+
 def _stats() -> list[F.Column]:
     return [F.countDistinct("event_id").alias("message_count"), F.countDistinct(context_or_event()).alias("context_count"), F.min("timestamp_start").alias("first_seen_at"), F.max("timestamp_start").alias("last_seen_at")]
 

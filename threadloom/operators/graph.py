@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +75,31 @@ def edge_sizes(edges: DataFrame) -> DataFrame:
 def intensity_bars(months: DataFrame) -> DataFrame:
     """Bar height in percent of the largest month, 5 at least."""
     return months.select("month", F.greatest(F.lit(5.0), F.col("message_count") / F.max("message_count").over(Window.partitionBy()) * 100).alias("height"))
+
+
+def month_of(time: F.Column) -> F.Column:
+    """Month (yyyy-MM) of a time; '' of none."""
+    return F.coalesce(F.date_format(time, "yyyy-MM"), F.lit(""))
+
+
+def percentage(weight: F.Column) -> F.Column:
+    """A weight in whole percent, halves up."""
+    return F.floor(weight * 100 + 0.5).cast("int")
+
+
+def _units(name: F.Column) -> F.Column:
+    """UTF-16 code units of a string."""
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(name, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("long"))
+
+
+def position(name: F.Column) -> tuple[F.Column, F.Column]:
+    """Where a node begins: angle and radius from a 32-bit FNV-1a hash of its id, so that reruns agree."""
+    hashed = F.aggregate(_units(name), F.lit(2166136261), lambda h, u: (h.bitwiseXOR(u) * 16777619) % (1 << 32))  # below 2^57: exact
+    angle, radius = hashed / float((1 << 32) - 1) * 2 * math.pi, 1 + (F.shiftright(hashed, 8) % 1000) / 400
+    return F.cos(angle) * radius, F.sin(angle) * radius
+
+
+def colour_number(category: F.Column, colours: int = 5) -> F.Column:
+    """Which of the palette's colours a category has: a polynomial hash over the first unit of each character."""
+    first = F.filter(_units(category), lambda u: ~u.between(0xDC00, 0xDFFF))
+    return (F.aggregate(first, F.lit(0).cast("long"), lambda h, u: (h * 31 + u) % (1 << 32)) % colours).cast("int")

@@ -1,4 +1,4 @@
-"""Snapshots: upsert, soft deletion, tables under manifests, run log; timestamps of exports."""
+"""Snapshots: upsert, soft deletion, tables under manifests, run log."""
 
 from __future__ import annotations
 
@@ -29,13 +29,6 @@ def replace_source(old: DataFrame, new: DataFrame, source_id: str) -> DataFrame:
     return upsert(gone, new, ["source_id", "source_record_id"], keep_old=["created_at"])
 
 
-def parse_timestamp(value: F.Column) -> F.Column:
-    """Seconds since the epoch, or an ISO time that keeps its own clock; anything else is null."""
-    seconds = value.try_cast("double")
-    clock = F.regexp_replace(value, r"(Z|[+-]\d\d:?\d\d)$", "")
-    return F.coalesce(F.when(F.abs(seconds) < 2.5e11, F.timestamp_seconds(seconds)).cast("timestamp_ntz"), clock.try_cast("timestamp_ntz"))
-
-
 def monthly_counts(events: DataFrame) -> DataFrame:
     """Active, dated events per month; the same plan serves a stream (see threadloom.streaming.monthly)."""
     dated = events.where(F.col("is_active") & F.col("timestamp_start").isNotNull())

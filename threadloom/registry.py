@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.operators import catalog, context, graph, search, store, topics
 from threadloom.plans import views
+from threadloom.sources import chat_export, importer
 
 LEAST, MOST, PER_EVENT = 5, 500, 5
 START, END = datetime.datetime(2023, 2, 1), datetime.datetime(2024, 6, 1)
@@ -63,6 +64,9 @@ class _World:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.events = views.events(spark, sf_dir)
         self.messages = views.messages(spark, sf_dir)
+        self.documents = views.document_events(spark, sf_dir)
+        self.sources = views.sources(spark)
+        self.parsed = lambda: chat_export.parse(views.export_records(spark, sf_dir))
 
     @property
     def built(self) -> topics.Topics:
@@ -126,13 +130,25 @@ score AS (SELECT event_id, -sum((CASE WHEN ln((n_all - n + 0.5) / (n + 0.5)) <=
   FROM post JOIN hit USING (event_id) JOIN freq USING (term), stat GROUP BY event_id)"""
 _SNIP = r"CASE WHEN length(f) > 280 THEN rtrim(left(f, 279)) || '…' ELSE f END"
 
-_entry("catalog_meta_counts", _with(_BUILD, "SELECT min(timestamp_start) AS earliest, max(timestamp_start) AS latest, count(event_id) AS event_count, (SELECT count(DISTINCT topic_id) FROM et JOIN ev e USING (event_id) WHERE e.is_active) AS topic_count, (SELECT count(*) FROM relations) AS relation_count FROM ev WHERE is_active"))(
-    lambda w: (lambda b: catalog.meta(w.events, b.topics, b.event_topics, b.relations).select("earliest", "latest", "event_count", "topic_count", "relation_count"))(w.built)
+_KINDS = "CASE WHEN contains(name, ' ') THEN 'phrase' ELSE 'keyword' END"
+
+
+def _kinds(b: topics.Topics) -> DataFrame:
+    """Built topics in two categories: words and phrases."""
+    return b.topics.withColumn("category", F.when(F.col("name").contains(" "), "phrase").otherwise("keyword"))
+
+
+_entry("catalog_meta", _with(_BUILD, f"""SELECT min(timestamp_start) AS earliest, max(timestamp_start) AS latest, count(event_id) AS event_count, (SELECT count(DISTINCT topic_id) FROM et JOIN ev e USING (event_id) WHERE e.is_active) AS topic_count, (SELECT count(*) FROM relations) AS relation_count,
+  (SELECT string_agg(DISTINCT source_type, ',' ORDER BY source_type) FROM ev WHERE is_active) AS source_types, (SELECT coalesce(string_agg(DISTINCT {_KINDS}, ',' ORDER BY {_KINDS}), '') FROM topics) AS categories FROM ev WHERE is_active"""))(
+    lambda w: (lambda b: catalog.meta(w.events, _kinds(b), b.event_topics, b.relations).withColumns({"source_types": F.array_join("source_types", ","), "categories": F.array_join("categories", ",")}))(w.built)
 )
-_entry("distinct_source_types", _with(_EV, "SELECT DISTINCT source_type FROM ev WHERE is_active"))(lambda w: w.events.where("is_active").select("source_type").distinct())
+_entry("distinct_source_types", _with(_EV, "SELECT DISTINCT source_type FROM ev WHERE is_active"))(lambda w: catalog.source_types(w.sources, w.events))
+_entry("source_type_filter", _with(_EV, f"SELECT event_id FROM ev WHERE {_ACTIVE} AND source_type = 'note'"))(lambda w: catalog.visible(w.events, source_type="note").select("event_id"))
 _entry("active_privacy_filter", _with(_EV, f"SELECT event_id, context_id FROM ev WHERE {_ACTIVE}"))(lambda w: catalog.visible(w.events).select("event_id", "context_id"))
 _entry("time_range_half_open", _with(_EV, f"SELECT event_id, timestamp_start FROM ev WHERE {_ACTIVE} AND {_RANGE}"))(lambda w: catalog.visible(w.events, start=START, end=END).select("event_id", "timestamp_start"))
-_entry("category_in", _with(_BUILD, "SELECT name FROM topics WHERE category IN ('keyword', 'place')"))(lambda w: w.built.topics.where(F.col("category").isin("keyword", "place")).select("name"))
+_entry("category_in", _with(_graph_sql(f"{_ACTIVE} AND contains(t.name, ' ')", 2, 0.0, 50), "SELECT topic_id, name, 'phrase' AS category, message_count FROM nodes"))(
+    lambda w: (lambda b: graph.topic_graph(w.events, _kinds(b), b.event_topics, categories=["phrase", "place"], node_limit=50)[0].select("topic_id", "name", "category", "message_count"))(w.built)
+)
 _entry("analysis_documents", _with(_BUILD, "SELECT count(DISTINCT event_id) AS documents FROM tf"))(lambda w: topics.term_counts(w.events).agg(F.countDistinct("event_id").alias("documents")))
 _entry("bigrams", _with(_BUILD, "SELECT event_id, term FROM terms WHERE contains(term, ' ')"))(
     lambda w: topics.analysed(w.events).select("event_id", F.explode(T.bigrams(T.tokens(T.fold(F.col("text"))))).alias("term"))
@@ -152,11 +168,22 @@ _entry("topic_search", _with(_BUILD, f"SELECT topic_id, name, category, {_STATS}
     lambda w: (lambda b: catalog.search_topics(w.events, b.topics, b.event_topics, " TH "))(w.built)
 )
 _entry("topic_summary", _with(_BUILD, f"SELECT {_STATS} FROM et JOIN shown USING (event_id) WHERE topic_id = (SELECT topic_id FROM one)"))(lambda w: _about(w, lambda b, t: catalog.topic_summary(w.events, b.event_topics, t)))
-_entry("topic_neighbors", _with(_BUILD, """, vis AS (SELECT et.event_id, topic_id, coalesce(context_id, event_id) AS context FROM et JOIN shown USING (event_id)), tgt AS (SELECT DISTINCT event_id FROM vis WHERE topic_id = (SELECT topic_id FROM one)),
-near AS (SELECT topic_id, count(*) AS message_count, count(DISTINCT context) AS context_count FROM vis WHERE event_id IN (SELECT event_id FROM tgt) AND topic_id <> (SELECT topic_id FROM one) GROUP BY topic_id)
-SELECT topic_id, t.name, t.category, n.message_count, n.context_count, n.message_count / sqrt(CAST((SELECT count(*) FROM tgt) * (SELECT count(DISTINCT event_id) FROM vis v WHERE v.topic_id = n.topic_id) AS DOUBLE)) AS weight
-FROM near n JOIN topics t USING (topic_id) ORDER BY weight DESC, name LIMIT 12""").replace("\n, vis", ", vis", 1))(lambda w: _about(w, lambda b, t: catalog.topic_neighbors(w.events, b.topics, b.event_topics, t)))
-_OCC = rf"SELECT event_id, timestamp_start AS occurred_at, role, title AS conversation_title, {_SNIP} AS snippet, source_record_id FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM shown WHERE event_id IN (SELECT event_id FROM et WHERE topic_id = (SELECT topic_id FROM one)) AND {_RANGE})"
+_NEAR = """vis AS (SELECT et.event_id, topic_id, coalesce(context_id, event_id) AS context FROM et JOIN shown USING (event_id)), tgt AS (SELECT DISTINCT event_id FROM vis WHERE topic_id = (SELECT topic_id FROM one)),
+near AS (SELECT topic_id, count(*) AS message_count, count(DISTINCT context) AS context_count FROM vis WHERE event_id IN (SELECT event_id FROM tgt) AND topic_id <> (SELECT topic_id FROM one) GROUP BY topic_id)"""
+_NEIGHBORS = """SELECT topic_id, t.name, t.category, n.message_count, n.context_count, n.message_count / sqrt(CAST((SELECT count(*) FROM tgt) * (SELECT count(DISTINCT event_id) FROM vis v WHERE v.topic_id = n.topic_id) AS DOUBLE)) AS weight
+FROM near n JOIN topics t USING (topic_id) ORDER BY weight DESC, name LIMIT 12"""
+_entry("topic_neighbors", _with(f"{_BUILD},\n{_NEAR}", _NEIGHBORS))(lambda w: _about(w, lambda b, t: catalog.topic_neighbors(w.events, b.topics, b.event_topics, t)))
+_entry("neighbor_percentages", _with(f"{_BUILD},\n{_NEAR}", f"SELECT topic_id, CAST(floor(weight * 100 + 0.5) AS INTEGER) AS percent FROM ({_NEIGHBORS})"))(
+    lambda w: _about(w, lambda b, t: catalog.topic_neighbors(w.events, b.topics, b.event_topics, t).select("topic_id", graph.percentage(F.col("weight")).alias("percent")))
+)
+_DETAIL = f"""{_BUILD},
+{_NEAR},
+months_ AS ({_MONTHS}), neighbors_ AS ({_NEIGHBORS}), summary AS (SELECT {_STATS} FROM et JOIN shown USING (event_id) WHERE topic_id = (SELECT topic_id FROM one))"""
+_entry("topic_detail", _with(_DETAIL, """SELECT t.topic_id, t.name, t.category, s.message_count, s.context_count, s.first_seen_at, s.last_seen_at, (SELECT string_agg(month || ':' || message_count, ',' ORDER BY month) FROM months_) AS months,
+  (SELECT string_agg(name || ':' || message_count || ':' || context_count, ',' ORDER BY weight DESC, name) FROM neighbors_) AS neighbors FROM topics t JOIN one USING (topic_id), summary s"""))(
+    lambda w: _about(w, lambda b, t: catalog.topic_detail(w.events, b.topics, b.event_topics, t).withColumns({"months": F.expr("array_join(transform(months, m -> concat(m.month, ':', m.message_count)), ',')"), "neighbors": F.expr("array_join(transform(neighbors, n -> concat_ws(':', n.name, n.message_count, n.context_count)), ',')")}))
+)
+_OCC = rf"SELECT event_id, timestamp_start AS occurred_at, role, title AS conversation_title, {_SNIP} AS snippet, source_record_id FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM shown WHERE event_id IN (SELECT event_id FROM et WHERE topic_id = (SELECT topic_id FROM one)) AND {_RANGE} AND source_type = 'chat')"
 _occurrences = lambda w: _about(w, lambda b, t: catalog.occurrences(w.events, b.event_topics, t, START, END, "chat"))
 _entry("topic_occurrences_page", _with(_BUILD, f"{_OCC} ORDER BY occurred_at DESC NULLS LAST, event_id LIMIT 10 OFFSET 5"))(lambda w: catalog.page(_occurrences(w), 10, 5))
 _entry("occurrence_total", _with(_BUILD, f"SELECT count(*) AS total FROM ({_OCC})"))(lambda w: _occurrences(w).agg(F.count("*").alias("total")))
@@ -164,8 +191,8 @@ _entry("snippet_280", rf"SELECT conv_id, turn, {_SNIP} AS snippet FROM (SELECT *
     lambda w: w.events.select(F.split("event_id", ":")[1].cast("long").alias("turn"), F.substring(F.split("event_id", ":")[0], 2, 30).cast("long").alias("conv_id"), T.snippet(F.col("text")).alias("snippet"))
 )
 _entry("graph_nodes", _with(_graph_sql(_ACTIVE, 2, 0.0, 100), "SELECT * FROM nodes"))(lambda w: _graph(w)[0])
-_entry("graph_edges", _with(_graph_sql(f"{_ACTIVE} AND {_RANGE}", 3, 0.15, 100), "SELECT source_topic_id, target_topic_id, message_count, context_count, round(weight, 6) AS weight FROM edges"))(
-    lambda w: _graph(w, start=START, end=END, source_type="chat", categories=["keyword"], min_occurrences=3, min_relation_weight=0.15)[1].withColumn("weight", F.round("weight", 6))
+_entry("graph_edges", _with(_graph_sql(f"{_ACTIVE} AND {_RANGE} AND source_type = 'chat' AND NOT contains(t.name, ' ')", 3, 0.15, 100), "SELECT source_topic_id, target_topic_id, message_count, context_count, round(weight, 6) AS weight FROM edges"))(
+    lambda w: (lambda b: graph.topic_graph(w.events, _kinds(b), b.event_topics, start=START, end=END, source_type="chat", categories=["keyword"], min_occurrences=3, min_relation_weight=0.15)[1].withColumn("weight", F.round("weight", 6)))(w.built)
 )
 _entry("graph_nodes_selected", _with(_graph_sql(_ACTIVE, 2, 0.02, 20, _RARE_SQL), "SELECT * FROM nodes"))(lambda w: _selected_graph(w, False)[0])
 _EGO = f", ends AS (SELECT source_topic_id AS e FROM edges WHERE target_topic_id = {_RARE_SQL} UNION SELECT target_topic_id FROM edges WHERE source_topic_id = {_RARE_SQL} UNION SELECT {_RARE_SQL})"
@@ -198,6 +225,27 @@ path AS (SELECT event_id, position FROM up UNION SELECT event_id, position FROM
 _entry("message_context", _with(_WALK, f"SELECT m.conversation_id, e.title AS conversation_title, CAST(position AS INTEGER) AS position, p.event_id, m.role, e.timestamp_start AS created_at, e.text, m.sequence_number, p.event_id = '{TARGET}' AS is_target FROM path p JOIN msg m USING (event_id) JOIN ev e USING (event_id)"))(
     lambda w: context.message_context(w.messages, w.events, TARGET, 2, 3)
 )
+_entry("month_of_date", _with(_EV, "SELECT event_id, coalesce(strftime(timestamp_start, '%Y-%m'), '') AS month FROM ev"))(lambda w: w.events.select("event_id", graph.month_of(F.col("timestamp_start")).alias("month")))
+_HASHED = "list_reduce(list_transform(string_split(n_name, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: "
+_entry("node_positions", f"SELECT n_name, round(cos(h / 4294967295.0 * 2 * pi()) * (1 + ((h >> 8) % 1000) / 400.0), 9) AS x, round(sin(h / 4294967295.0 * 2 * pi()) * (1 + ((h >> 8) % 1000) / 400.0), 9) AS y FROM (SELECT n_name, {_HASHED}(xor(h, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS h FROM nation)")(
+    lambda w: w.nation.select("n_name", *[F.round(c, 9).alias(n) for c, n in zip(graph.position(F.col("n_name")), "xy", strict=True)])
+)
+_entry("category_colours", f"SELECT n_name, CAST({_HASHED}(h * 31 + c) % 4294967296, CAST(0 AS BIGINT)) % 5 AS INTEGER) AS colour FROM nation")(lambda w: w.nation.select("n_name", graph.colour_number(F.col("n_name")).alias("colour")))
+_entry("export_messages", _with(views.EXPORT_SQL, "SELECT * FROM exported"))(lambda w: w.parsed().select("conversation_id", F.inline("messages")))
+_entry("export_conversations", _with(views.EXPORT_SQL, "SELECT conversation_id, 'conversation ' || substr(conversation_id, 2) AS title, CAST(count(*) AS INTEGER) AS message_count, 0 AS warnings FROM exported GROUP BY ALL"))(
+    lambda w: w.parsed().select("conversation_id", "title", F.size("messages").alias("message_count"), F.size("warnings").alias("warnings"))
+)
+_SCOPED = "conversation_id || ':' || message_id"
+_entry("import_messages", _with(views.EXPORT_SQL, f"SELECT 'chatgpt-message-key-' || sha256('chatgpt:message-key:' || {_SCOPED}) AS message_key, 'chatgpt-message-' || sha256('chatgpt:message:' || {_SCOPED}) AS event_id, 'chatgpt-message-key-' || sha256('chatgpt:message-key:' || conversation_id || ':' || parent_message_id) AS parent_message_key, conversation_id, sequence_number FROM exported"))(
+    lambda w: importer.rows_of(w.parsed(), "export")["messages"].select("message_key", "event_id", "parent_message_key", "conversation_id", "sequence_number")
+)
+_entry("import_events", _with(views.EXPORT_SQL, f"SELECT 'message:' || {_SCOPED} AS source_record_id, conversation_id AS context_id, created_at AS timestamp_start, 'conversation ' || substr(conversation_id, 2) AS title, text, content_type = 'text' AS analysis_enabled FROM exported UNION ALL SELECT DISTINCT 'conversation:' || conversation_id, conversation_id, CAST(NULL AS TIMESTAMP), 'conversation ' || substr(conversation_id, 2), NULL, false FROM exported"))(
+    lambda w: importer.rows_of(w.parsed(), "export")["events"].select("source_record_id", "context_id", "timestamp_start", "title", "text", "analysis_enabled")
+)
+_entry("normalized_messages", _with(views.EXPORT_SQL, "SELECT message_id AS source_record_id, created_at AS timestamp_start, text, parent_message_id AS parent, CAST(is_on_current_branch AS VARCHAR) AS on_branch, 'chatgpt' AS source_type FROM exported"))(
+    lambda w: importer.normalized(w.parsed()).select("source_record_id", "timestamp_start", "text", F.col("metadata")["parent_message_id"].alias("parent"), F.col("metadata")["is_on_current_branch"].alias("on_branch"), F.col("metadata")["source_type"].alias("source_type"))
+)
+_entry("topic_build_documents", _with(_BUILD.replace(views.EVENTS_SQL, views.DOCUMENT_EVENTS_SQL), "SELECT * FROM topics"))(lambda w: topics.build_topics(w.documents, LEAST, MOST, PER_EVENT).topics)
 _OLD, _NEW = "turn % 3 <> 0", "turn % 3 <> 1"
 
 
@@ -213,7 +261,7 @@ a AS (SELECT *, '2023-01-01' AS d FROM each WHERE {_OLD}), b AS (SELECT *, '2024
 _entry("upsert_merge", _with(_UPSERT, "SELECT coalesce(b.source_id, a.source_id) AS source_id, coalesce(b.source_record_id, a.source_record_id) AS source_record_id, CASE WHEN b.source_record_id IS NULL THEN a.title ELSE b.title || ' again' END AS title, CASE WHEN b.source_record_id IS NULL THEN a.is_active ELSE true END AS is_active, coalesce(a.d, b.d) AS created_at, coalesce(b.d, a.d) AS updated_at FROM a FULL JOIN b ON a.source_id = b.source_id AND a.source_record_id = b.source_record_id"))(
     lambda w: store.upsert(*_old_new(w), ["source_id", "source_record_id"], keep_old=["created_at"])
 )
-_entry("soft_delete", _with(_UPSERT, "SELECT coalesce(b.source_record_id, a.source_record_id) AS source_record_id, b.source_record_id IS NOT NULL AS is_active FROM a FULL JOIN b ON a.source_id = b.source_id AND a.source_record_id = b.source_record_id"))(
+_entry("soft_delete", _with(_UPSERT, "SELECT coalesce(b.source_record_id, a.source_record_id) AS source_record_id, CASE WHEN b.source_record_id IS NOT NULL THEN true WHEN a.source_id = 'conversations' THEN false ELSE a.is_active END AS is_active FROM a FULL JOIN b ON a.source_id = b.source_id AND a.source_record_id = b.source_record_id"))(
     lambda w: store.replace_source(*_old_new(w), "conversations").select("source_record_id", "is_active")
 )
 _entry("replace_keyword_topics", _with(_BUILD, "SELECT name, category FROM topics UNION ALL SELECT n_name, 'place' FROM nation"))(
@@ -223,7 +271,8 @@ _entry("stable_ids", "SELECT conv_id, turn, 'chatgpt-message-' || sha256('chatgp
     lambda w: w.conversations.select("conv_id", "turn", T.stable_id("message", F.concat_ws(":", "conv_id", "turn")).alias("event_id"))
 )
 _entry("parse_timestamps", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN make_timestamp((1672531200 + conv_id * 86400 + turn) * 1000000) WHEN 1 THEN make_timestamp((1672531200 + conv_id * 3600) * 1000000) END AS ts FROM conversations")(
-    lambda w: w.conversations.select("conv_id", "turn", store.parse_timestamp(F.when(F.col("turn") % 3 == 0, (F.lit(views.START) + F.col("conv_id") * 86400 + F.col("turn")).cast("string")).when(F.col("turn") % 3 == 1, F.date_format(F.timestamp_seconds(F.lit(views.START) + F.col("conv_id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("no time")).alias("ts"))
+    lambda w: w.conversations.select("conv_id", "turn", F.try_parse_json(F.when(F.col("turn") % 3 == 0, (F.lit(views.START) + F.col("conv_id") * 86400 + F.col("turn")).cast("string")).when(F.col("turn") % 3 == 1, F.date_format(F.timestamp_seconds(F.lit(views.START) + F.col("conv_id") * 3600), "'\"'yyyy-MM-dd'T'HH:mm:ss'Z\"'")).otherwise('"no time"')).alias("v"))
+    .select("conv_id", "turn", chat_export.instant("v").alias("ts"))
 )
 _entry("point_lookup", _with(_EV, f"SELECT event_id, role, text FROM ev WHERE event_id = '{TARGET}'"))(lambda w: w.events.where(F.col("event_id") == TARGET).select("event_id", "role", "text").limit(1))
 _entry("conversation_message_counts", "SELECT conv_id, count(*) AS message_count FROM conversations GROUP BY conv_id")(lambda w: w.conversations.groupBy("conv_id").agg(F.count("*").alias("message_count")))
