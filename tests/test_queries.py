@@ -44,7 +44,7 @@ def events(spark, rows):
 
 def test_totals_are_sums_of_counts(spark):
     ev = events(spark, [{"text": "garden garden garden"}, {"text": "garden soil"}])
-    assert {r["term"]: r["cf"] for r in topics.corpus_totals(topics.term_counts(ev)).collect()} == {"garden": 4, "soil": 1, "garden soil": 1}
+    assert {r["term"]: r["cf"] for r in topics.corpus_totals(topics.terms_of(ev)).collect()} == {"garden": 4, "soil": 1, "garden soil": 1}
 
 
 def test_folding(spark):

@@ -48,8 +48,7 @@ def fold(text: Column) -> Column:
 def tokens(folded: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Runs of at least three letters that are no stopwords, in order."""
     found = F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{Nl}\p{No}]{3,}"), F.lit(0))
-    held = F.array(*map(F.lit, stopwords))
-    return F.filter(found, lambda t: ~F.array_contains(held, t))
+    return F.filter(found, lambda t: ~t.isin(*stopwords))  # a hash set
 
 
 def bigrams(words: Column) -> Column:

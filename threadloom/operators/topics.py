@@ -1,8 +1,10 @@
 """Topic mining: terms, corpus totals, selection, assignments, relations, monthly intensity.
 
 The frequency that selects and weighs terms is the sum of term counts over the corpus (not the number of
-documents). Per-event counts are made where the text is read, so one shuffle by event serves counting and
-ranking; selected terms are at most `max_topics` rows and are broadcast for that reason.
+documents). A build reads the texts twice: corpus totals are partial counts by term, which shrink to the vocabulary before
+they are shuffled; then only occurrences of the selected terms are counted and ranked, in one shuffle by event. Selected terms
+are at most `max_topics` rows and are broadcast for that reason. The table of all events' terms, larger than the texts, is
+never made.
 """
 
 from __future__ import annotations
@@ -24,34 +26,49 @@ def fallback_context() -> F.Column:
     return F.coalesce(F.nullif(F.col("context_id"), F.lit("")), F.col("event_id"))
 
 
+def words_of(events: DataFrame) -> DataFrame:
+    """(event_id, w): the words of each analysed event."""
+    return analysed(events).select("event_id", T.tokens(T.fold(F.col("text"))).alias("w"))
+
+
+def terms_of(events: DataFrame) -> DataFrame:
+    """(event_id, term): every occurrence of a word or of two neighbours."""
+    return words_of(events).select("event_id", F.explode(F.concat("w", T.bigrams(F.col("w")))).alias("term"))
+
+
 def term_counts(events: DataFrame) -> DataFrame:
     """(event_id, term, tf): unigrams and bigrams of the analysed events."""
-    words = analysed(events).select("event_id", T.tokens(T.fold(F.col("text"))).alias("w"))
-    terms = words.select("event_id", F.explode(F.concat("w", T.bigrams(F.col("w")))).alias("term"))
-    return terms.groupBy("event_id", "term").agg(F.count("*").alias("tf"))
+    return terms_of(events).groupBy("event_id", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_totals(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.sum("tf").alias("cf"))
+def corpus_totals(terms: DataFrame) -> DataFrame:
+    """(term, cf) of `terms_of`."""
+    return terms.groupBy("term").agg(F.count("*").alias("cf"))
 
 
-def select_terms(counts: DataFrame, least: int = 5, most: int = 500) -> DataFrame:
+def select_terms(terms: DataFrame, least: int = 5, most: int = 500) -> DataFrame:
     """At most `most` terms by (total, words in the term, term); a single top-k."""
     if least < 1 or most < 1:
         raise ValueError("topic_build_limits_must_be_positive")
     spaces = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
-    return corpus_totals(counts).where(F.col("cf") >= least).orderBy(F.desc("cf"), spaces.desc(), "term").limit(most)
+    return corpus_totals(terms).where(F.col("cf") >= least).orderBy(F.desc("cf"), spaces.desc(), "term").limit(most)
+
+
+def analysed_documents(events: DataFrame) -> DataFrame:
+    """One row: how many events have a term."""
+    return words_of(events).where(F.size("w") > 0).agg(F.count("*").alias("documents"))
 
 
-def assignments(counts: DataFrame, selected: DataFrame, per_event: int = 5) -> DataFrame:
+def assignments(terms: DataFrame, selected: DataFrame, documents: DataFrame, per_event: int = 5) -> DataFrame:
     """(event_id, term, weight): of each event the best selected terms."""
     if per_event < 1:
         raise ValueError("topic_build_limits_must_be_positive")
-    n = counts.agg(F.countDistinct("event_id").alias("n"))
-    held = counts.join(F.broadcast(selected), "term").crossJoin(F.broadcast(n))  # selected is a top-k, n one row
-    inverse = F.log((F.col("n") + 1).cast("double") / (F.col("cf") + 1)) + 1.0
+    held = terms.join(F.broadcast(selected), "term")  # a top-k
+    # By event alone, which serves the count and the ranking.
+    counted = held.repartition("event_id").groupBy("event_id", "term").agg(F.count("*").alias("tf"), F.first("cf").alias("cf")).crossJoin(F.broadcast(documents))  # one row
+    inverse = F.log((F.col("documents") + 1).cast("double") / (F.col("cf") + 1)) + 1.0
     bonus = F.when(F.col("term").contains(" "), 1.2).otherwise(1.0)
-    scored = held.withColumn("weight", F.col("tf") * inverse * bonus)
+    scored = counted.withColumn("weight", F.col("tf") * inverse * bonus)
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("weight"), "term"))
     return scored.withColumn("r", rank).where(F.col("r") <= per_event).select("event_id", "term", "weight")
 
@@ -91,11 +108,11 @@ class Topics:
 
 
 def build_topics(events: DataFrame, least: int = 5, most: int = 500, per_event: int = 5) -> Topics:
-    counts = term_counts(events).cache()  # read three times: totals, N and scores
-    assigned = assignments(counts, select_terms(counts, least, most), per_event).cache()
+    terms, documents = terms_of(events), analysed_documents(events)
+    assigned = assignments(terms, select_terms(terms, least, most), documents, per_event).cache()  # per_event small rows an event
     topics, relations = topic_rows(assigned, events), relation_rows(assigned, events)
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    counters = one(counts.select("event_id").distinct(), "documents").crossJoin(one(topics, "topics")).crossJoin(one(assigned, "assignments")).crossJoin(one(relations, "relations"))
+    counters = documents.crossJoin(one(topics, "topics")).crossJoin(one(assigned, "assignments")).crossJoin(one(relations, "relations"))  # rows of one
     return Topics(topics, assigned.select("event_id", T.topic_id(F.col("term")).alias("topic_id"), "weight"), relations, counters)
 
 
