@@ -46,17 +46,23 @@ def corpus_totals(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("cf"))
 
 
-def select_terms(terms: DataFrame, least: int = 5, most: int = 500) -> DataFrame:
+def totals_of(events: DataFrame) -> DataFrame:
+    """`corpus_totals`, and under the null term the number of events that have any: one pass and one exchange for both."""
+    marked = words_of(events).select(F.explode(F.when(F.size("w") > 0, F.concat(F.array(F.lit(None).cast("string")), "w", T.bigrams(F.col("w"))))).alias("term"))
+    return corpus_totals(marked)
+
+
+def select_terms(totals: DataFrame, least: int = 5, most: int = 500) -> DataFrame:
     """At most `most` terms by (total, words in the term, term); a single top-k."""
     if least < 1 or most < 1:
         raise ValueError("topic_build_limits_must_be_positive")
     spaces = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
-    return corpus_totals(terms).where(F.col("cf") >= least).orderBy(F.desc("cf"), spaces.desc(), "term").limit(most)
+    return totals.where(F.col("term").isNotNull() & (F.col("cf") >= least)).orderBy(F.desc("cf"), spaces.desc(), "term").limit(most)
 
 
-def analysed_documents(events: DataFrame) -> DataFrame:
+def analysed_documents(totals: DataFrame) -> DataFrame:
     """One row: how many events have a term."""
-    return words_of(events).where(F.size("w") > 0).agg(F.count("*").alias("documents"))
+    return totals.where(F.col("term").isNull()).agg(F.coalesce(F.max("cf"), F.lit(0)).alias("documents"))
 
 
 def assignments(terms: DataFrame, selected: DataFrame, documents: DataFrame, per_event: int = 5) -> DataFrame:
@@ -108,8 +114,9 @@ class Topics:
 
 
 def build_topics(events: DataFrame, least: int = 5, most: int = 500, per_event: int = 5) -> Topics:
-    terms, documents = terms_of(events), analysed_documents(events)
-    assigned = assignments(terms, select_terms(terms, least, most), documents, per_event).cache()  # per_event small rows an event
+    totals = totals_of(events)
+    documents = analysed_documents(totals)
+    assigned = assignments(terms_of(events), select_terms(totals, least, most), documents, per_event).cache()  # per_event small rows an event
     topics, relations = topic_rows(assigned, events), relation_rows(assigned, events)
     one = lambda df, name: df.agg(F.count("*").alias(name))
     counters = documents.crossJoin(one(topics, "topics")).crossJoin(one(assigned, "assignments")).crossJoin(one(relations, "relations"))  # rows of one

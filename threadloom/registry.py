@@ -149,13 +149,13 @@ _entry("time_range_half_open", _with(_EV, f"SELECT event_id, timestamp_start FRO
 _entry("category_in", _with(_graph_sql(f"{_ACTIVE} AND contains(t.name, ' ')", 2, 0.0, 50), "SELECT topic_id, name, 'phrase' AS category, message_count FROM nodes"))(
     lambda w: (lambda b: graph.topic_graph(w.events, _kinds(b), b.event_topics, categories=["phrase", "place"], node_limit=50)[0].select("topic_id", "name", "category", "message_count"))(w.built)
 )
-_entry("analysis_documents", _with(_BUILD, "SELECT count(DISTINCT event_id) AS documents FROM tf"))(lambda w: topics.analysed_documents(w.events))
+_entry("analysis_documents", _with(_BUILD, "SELECT count(DISTINCT event_id) AS documents FROM tf"))(lambda w: topics.analysed_documents(topics.totals_of(w.events)))
 _entry("bigrams", _with(_BUILD, "SELECT event_id, term FROM terms WHERE contains(term, ' ')"))(
     lambda w: topics.analysed(w.events).select("event_id", F.explode(T.bigrams(T.tokens(T.fold(F.col("text"))))).alias("term"))
 )
 _entry("term_frequencies", _with(_BUILD, "SELECT event_id, term, tf FROM tf"))(lambda w: topics.term_counts(w.events))
 _entry("corpus_term_totals", _with(_BUILD, "SELECT term, cf FROM cf"))(lambda w: topics.corpus_totals(topics.terms_of(w.events)))
-_entry("selected_terms", _with(_BUILD, "SELECT term, cf FROM selected"))(lambda w: topics.select_terms(topics.terms_of(w.events), LEAST, MOST))
+_entry("selected_terms", _with(_BUILD, "SELECT term, cf FROM selected"))(lambda w: topics.select_terms(topics.totals_of(w.events), LEAST, MOST))
 _entry("event_topic_assignments", _with(_BUILD, "SELECT event_id, topic_id, round(weight, 6) AS weight FROM et"))(lambda w: w.built.event_topics.withColumn("weight", F.round("weight", 6)))
 _entry("topic_build_topics", _with(_BUILD, "SELECT * FROM topics"))(lambda w: w.built.topics)
 _entry("topic_relations", _with(_BUILD, "SELECT relation_id, source_topic_id, target_topic_id, message_count, conversation_count, round(weight, 6) AS weight FROM relations"))(lambda w: w.built.relations.withColumn("weight", F.round("weight", 6)))
