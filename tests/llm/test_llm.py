@@ -119,6 +119,19 @@ def test_html_extraction():
     assert html_text.extract("<article><p>" + "long words " * 50_000).count("long") == 50_000
 
 
+def test_html_deep_nesting():
+    import time
+
+    def took(depth):
+        page = "".join(f'<div class="x{i}"><span>menu{i}</span>' for i in range(depth)) + "<article><h1>A title</h1><p>" + "words of the article " * 30 * (depth // 100) + "</p></article>"
+        began = time.perf_counter()
+        assert html_text.extract(page).startswith("A title\nwords of the article")
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(16_000) < 40 * took(2_000)  # eight times the page; its square would be 64 times
+
+
 def test_jaccard_components_against_brute_force(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(200)]
@@ -231,6 +244,22 @@ def test_toxicity_by_compression():
     assert toxicity.fit_distance([], []).constant == 0.5 and toxicity.fit_distance(["a"], [1]).constant == 1.0
 
 
+def test_toxicity_fit_is_bounded_and_knows_repeated_ids(spark, monkeypatch):
+    from zlib import crc32
+
+    ids = [i for i in range(300) if crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"text of {i}") for i in ids] + [(ids[0], "later text"), (ids[1], "z" * 5_000_000), (None, "x"), (ids[2], None)], "doc_id long, text string").withColumn("label", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_distance", lambda texts, marks: seen.append((texts, marks)))
+    toxicity.fit(docs, labels)
+    assert len(seen[0][0]) == len(ids) and seen[0][0][0] == "later text" and seen[0][0][1] == f"text of {ids[1]}" and seen[0][0][2] == "" and seen[0][1] == [i % 2 for i in ids]
+    toxicity.fit(docs, labels, most_bytes=100)
+    assert 0 < sum(len(t) for t in seen[1][0]) <= 100
+    toxicity.fit(docs, labels.limit(0))
+    assert seen[2] == ([], [])
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(99)]

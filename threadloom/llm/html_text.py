@@ -15,7 +15,7 @@ other labelled pages instead.
 
 Cases: null, empty or tag-only html gives ''. Cut-off pages and unclosed elements are read to their end.
 Character references are decoded (also without ';', as browsers do). White space inside a block becomes one
-space; blocks are joined by one newline; nothing is capped. Ties of the largest sum: the first region.
+space; blocks are joined by one newline; nothing is capped. Time grows with the page, not with its depth. Ties of the largest sum: the first region.
 Repeated rows and extra columns: each row on its own; extra columns are not read.
 """
 
@@ -25,6 +25,8 @@ import html as entities
 import math
 import re
 from collections import Counter
+from collections.abc import Container
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,11 +69,22 @@ def features(tag: str, attributes: str, named: bool = True, inside: bool = False
     return tuple(found)
 
 
-def events(page: str, opened: list[list] | None = None, free: frozenset[int] = frozenset()):
-    """('text', text, context) / ('tag', name, (is_block, context)); context is the tuple of features of all open elements.
+@dataclass
+class Opened:
+    """An element of a page: its features, the words that stand in it directly, the element around it, and for a heading or
+    an article its features with all names."""
 
-    opened takes of each element its features, its number of words and the features of headings and articles in it;
-    the elements whose numbers are in free are not judged by class and id.
+    own: tuple[str, ...]
+    words: int
+    around: int
+    held: tuple[str, ...] | None
+
+
+def events(page: str, opened: list[Opened] | None = None, free: frozenset[int] = frozenset(), known: Container[str] | None = None):
+    """('text', text, context) / ('tag', name, (is_block, context)); context is the tuple of features of all open elements,
+    of those that are known, so that its length does not grow with the depth.
+
+    opened takes the elements; those whose numbers are in free are not judged by class and id.
     """
     stack: list[tuple[str, tuple[str, ...], int]] = []
     number = -1
@@ -88,9 +101,8 @@ def events(page: str, opened: list[list] | None = None, free: frozenset[int] = f
         at = m.end()
         closing, tag, attributes, text = m.groups()
         if text is not None:
-            if opened is not None and (n_words := len(text.split())):
-                for _, _, k in stack:
-                    opened[k][1] += n_words
+            if opened is not None and stack:
+                opened[stack[-1][2]].words += len(text.split())
             yield "text", text, context
             continue
         if tag is None:
@@ -120,13 +132,11 @@ def events(page: str, opened: list[list] | None = None, free: frozenset[int] = f
             inside = "<article>" in context or "<main>" in context
             own = features(tag, attributes, number not in free and not (tag in HOLDERS and not inside), inside)
             if opened is not None:
-                opened.append([own, 0, []])
-                if tag in ("h1", "main", "article"):
-                    for _, _, k in stack:
-                        opened[k][2].append(features(tag, attributes))
+                opened.append(Opened(own, 0, stack[-1][2] if stack else -1, features(tag, attributes) if tag in ("h1", "main", "article") else None))
             if tag == "header" and inside:
                 own = ("<header> within", *own[1:])
-            context = (*context, *(f for f in own if f not in context))
+            more = tuple(f for f in own if f not in context and (known is None or f in known or f in ("<article>", "<main>")))
+            context = (*context, *more) if more else context
             stack.append((tag, context, number))
         yield "tag", tag, (tag in BLOCK, context)
 
@@ -229,10 +239,16 @@ def default_weights() -> Weights:
 
 def wrappers(page: str, weights: Weights) -> frozenset[int]:
     """Numbers of the elements that hold most of the page's words and the article's heading or element: their names are the layout's."""
-    opened: list[list] = []
-    total = sum(len(value.split()) for kind, value, _ in events(page, opened) if kind == "text")
+    opened: list[Opened] = []
+    total = sum(len(value.split()) for kind, value, _ in events(page, opened, known=weights.words) if kind == "text")
     against = lambda own: any(f[0] == "." and weights.words.get(f, 0.0) < 0 for f in own)
-    return frozenset(k for k, (own, n, held) in enumerate(opened) if 2 * n > total and ".hidden" not in own and against(own) and not all(map(against, held)))
+    words, good = [o.words for o in opened], [False] * len(opened)
+    for k in range(len(opened) - 1, -1, -1):  # an element comes after the one around it
+        up = opened[k].around
+        if up >= 0:
+            words[up] += words[k]
+            good[up] |= good[k] or opened[k].held is not None and not against(opened[k].held)
+    return frozenset(k for k, o in enumerate(opened) if 2 * words[k] > total and good[k] and ".hidden" not in o.own and against(o.own))
 
 
 def extract(page: str, weights: Weights | None = None) -> str:
@@ -241,7 +257,7 @@ def extract(page: str, weights: Weights | None = None) -> str:
     best = running = 0.0
     first = begin = end = -1
     kept: list[tuple[str, float] | None] = []  # text with its words' score; None: a block begins or ends
-    for kind, value, extra in events(page, free=wrappers(page, weights)):
+    for kind, value, extra in events(page, free=wrappers(page, weights), known=weights.words):
         if kind == "tag":
             running += max(weights.of_tag(value), WITHIN) if weights.within(extra[1]) else weights.of_tag(value)
             if extra[0]:

@@ -11,7 +11,9 @@ gives the score.
 
 Cases: null, empty or wordless text has no evidence and gets the score of that. Without both labels every
 score is the share of label 1 (0.5 without labels). Every window of a whole text counts. Repeated rows are
-scored each; null doc_id is never labelled and not held out. The fit reads at most FIT_DOCS labelled rows.
+scored each; null doc_id is never labelled and not held out. The fit reads at most FIT_DOCS labelled rows of FIT_BYTES
+bytes in all, and of rows that repeat a doc_id the one with the smallest text; an id labelled both ways counts as toxic.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ from threadloom.llm import common
 THRESHOLD = 0.7
 #: Labelled rows that the fit reads: of each label at most half, chosen by a hash of doc_id.
 FIT_DOCS = 9_000
+#: Bytes of text that the fit brings together, in the order of that hash: a text that would pass the bound is not learned from.
+FIT_BYTES = 256 << 20
+#: Windows, chosen at random, of the ordinary texts of the sample that the ordinary dictionary is trained on.
+ORDINARY_WINDOWS = 40_000
 WINDOW = 24
 LEVEL = 6
 TOXIC_BYTES, ORDINARY_BYTES = 4 << 10, 8 << 10
@@ -156,7 +162,7 @@ def fit_distance(texts: list[str], labels: list[int]) -> Distance:
     strength = {w: characteristic(w) for w in in_toxic}
     plain = [x for ws in ordinary for x in windows(ws, 16)]
     random.Random(7).shuffle(plain)
-    base = _trained(plain[:40_000], ORDINARY_BYTES)[-ORDINARY_BYTES:]
+    base = _trained(plain[:ORDINARY_WINDOWS], ORDINARY_BYTES)[-ORDINARY_BYTES:]
     rest = [(t, v) for v in (0, 1) for t in groups[v][half[v] :] or groups[v]]
     some = rest[:: max(len(rest) // PICK_DOCS, 1)]
     best: tuple[float, Distance] | None = None
@@ -170,15 +176,25 @@ def fit_distance(texts: list[str], labels: list[int]) -> Distance:
     return best[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> Distance:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> Distance:
     """Fit on a bounded sample; rows whose crc32(doc_id) mod 3 is 1 are never read."""
     left = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     marks = labels.where(left & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
     ids: dict[int, int] = {}
     for v in (0, 1):  # a bounded top-k each: the sample's size is the feature
         ids |= {r["doc_id"]: v for r in marks.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2).collect()}
-    found = docs.where(F.col("doc_id").isin(list(ids))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect() if ids else []
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
+    if not ids:
+        return fit_distance([], [])
+    some = docs.where(F.col("doc_id").isin(list(ids))).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    some = common.written(some, "toxicity-sample")  # one pass over the texts; at most `limit` rows
+    room, within = most_bytes, []
+    for r in some.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= room:
+            room -= r["n"]
+            within.append(r["doc_id"])
+    found = some.where(F.col("doc_id").isin(within)).collect()
+    common.drop_written(some, shuffles=False)
+    found.sort(key=lambda r: r["doc_id"])
     return fit_distance([r["text"] for r in found], [ids[r["doc_id"]] for r in found])
 
 
