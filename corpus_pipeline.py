@@ -44,7 +44,7 @@ STAGES = [
     ("token-ID / binary output", token_ids),
 ]
 
-#: Trained scores and tokenizers are beyond SQL; tests compare the stages with brute-force versions.
+#: Trained scores and tokenizers are beyond SQL; tests compare the join, the retrieval and the mix with brute force and the token file with the library.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,8 @@ from threadloom.session import session
 from threadloom.sources import chat_export, importer
 
 
-def main(args: list[str]) -> int:
+def main(args: list[str] | None = None) -> int:
+    args = sys.argv[1:] if args is None else args
     if len(args) < 2 or args[0] not in ("inspect", "import", "topics") or args[0] == "import" and len(args) < 3:
         print(__doc__, file=sys.stderr)
         return 2
@@ -31,4 +32,4 @@ def main(args: list[str]) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main(sys.argv[1:]))
+    sys.exit(main())
