@@ -495,6 +495,74 @@ def test_media_links_are_those_of_brute_force(spark):
     assert all(label[a] == label[got[a]["group_id"]] for a in got)  # nothing is linked that should not be
 
 
+def linked(prints, side=None):
+    """Components of an aligner of all pairs that share a sound (of different sides)."""
+    label = list(range(len(prints)))
+    links = []
+    for a in label:
+        for b in range(a + 1, len(prints)):
+            if (side is None or side[a] != side[b]) and (np.intersect1d(prints[a], prints[b]) != media.SILENCE).any():
+                _, error, n = media.align(prints[a], prints[b])
+                if error <= media.ERROR and n >= min(media.MIN_FRAMES, len(prints[a]), len(prints[b])):
+                    links.append((a, b))
+    return components_of(len(prints), links)
+
+
+def components_of(n, links):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_media_one_common_integer_is_enough(spark):
+    rng = np.random.default_rng(21)
+    prints = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+        other = base ^ (np.uint32(1) << rng.integers(0, 32, 60).astype(np.uint32))
+        at = int(rng.integers(0, 60))
+        other[at] = base[at]
+        prints += [base, other]
+    rows = [(i, len(v) + media.WIDTH - 1, len(v), 1000 - i, v.view(np.int32).tolist()) for i, v in enumerate(prints)]
+    got = {r["id"]: r["group_id"] for r in media.align_prints(spark.createDataFrame(rows, media._PRINTS)).collect()}
+    assert [got[i] for i in range(24)] == linked(prints) == [i // 2 * 2 for i in range(24)]
+
+
+def test_media_cells_find_every_link():
+    rng = np.random.default_rng(22)
+    for trial in range(4):
+        prints = []
+        for _ in range(4):
+            base = rng.integers(0, 1 << 32, 80, dtype=np.uint32)
+            if trial == 1:
+                base[10:] = rng.integers(0, 3, 70)  # few different integers
+            if trial == 2:
+                base = np.concatenate([base, np.full(150, media.SILENCE)])
+            for _ in range(10):
+                cut = int(rng.integers(0, 40))
+                v = base[cut : cut + int(rng.integers(1, len(base)))].copy()
+                for i in np.flatnonzero(rng.random(len(v)) < 0.85):
+                    v[i] ^= np.bitwise_or.reduce(np.uint32(1) << rng.integers(0, 32, int(rng.integers(1, 6))).astype(np.uint32))
+                prints.append(v)
+        one, two = np.zeros(len(prints), int), rng.integers(0, 2, len(prints))
+        assert components_of(len(prints), media.cell_links(prints, one)) == linked(prints)
+        got = media.cell_links(prints, two)
+        assert all(two[a] != two[b] for a, b in got) and components_of(len(prints), got) == linked(prints, two)
+
+
+def test_media_groups_do_not_depend_on_cells(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    base = rng.integers(0, 1 << 32, 300, dtype=np.uint32)
+    prints = [base[i : i + 40] for i in range(0, 260, 20)] + [rng.integers(0, 1 << 32, 30, dtype=np.uint32) for _ in range(9)]
+    rows = [(i, len(v) + media.WIDTH - 1, len(v), 1000 - i, v.view(np.int32).tolist()) for i, v in enumerate(prints)]
+    for cell in (media.CELL, 200):
+        monkeypatch.setattr(media, "CELL", cell)
+        got = {r["id"]: r["group_id"] for r in media.align_prints(spark.createDataFrame(rows, media._PRINTS)).collect()}
+        assert [got[i] for i in range(len(prints))] == [0] * 13 + list(range(13, 22))
+
+
 def test_media_equal_frames_give_equal_integers_anywhere():
     rng = np.random.default_rng(16)
     table = media.chord_frames()

@@ -6,11 +6,11 @@ image of log chroma) give two bits each; a frame's bits are one packed integer.
 integers are candidates: the offsets at which integers agree form a histogram, its peak aligns the two, and
 the share of bits that differ over the overlap decides.
 
-Equal fingerprints are one class from the start. Keys are a recording's integers with small hashes (one in THIN), all
-of a short one's, and those of a long one's that a short one holds (a filter of fixed size knows). With a key goes one bit of each integer around it; two recordings that share a key are aligned if these bits
-agree well enough, which is the bit-error test on a sample. In a block each recording is first compared with the longest
-one, what that links is contracted, and then pairs of different components are compared. Integers of silence carry
-nothing and make no keys. Recall against an aligner of all pairs is tested.
+Equal fingerprints are one class from the start. Different ones are candidates if they share any integer but silence's: recordings are dealt
+to groups, every two groups are a cell, and in a cell every two places with equal integers are met. They tell an offset, and the
+overlap there is compared whole (the sum ends early where it is too large already). What passes is aligned, and what links
+connect already is not compared again. So the groups are those of an aligner of all pairs that share a sound. The work is that of all pairs of places
+with equal integers, which grows with the square of the table where integers agree by chance.
 
 Cases: null, empty or undecodable values have no frames, no fingerprint and a group of their own (their id).
 Recordings shorter than a frame are padded to one, and those of fewer than WIDTH frames to WIDTH, with silence;
@@ -24,10 +24,11 @@ import hashlib
 import io
 import wave
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import common
@@ -39,10 +40,12 @@ FILTERS = ((4, 0, 12, 0), (4, 0, 6, 0), (4, 6, 6, 0), (4, 0, 4, 1), (4, 4, 4, 1)
 WIDTH = 8
 #: Two recordings match if at least MIN_FRAMES overlapping integers differ in at most ERROR of their bits.
 ERROR, MIN_FRAMES = 0.15, 12
-#: Keys: one integer in THIN of a recording, all of one that has at most SHORT.
-THIN, SHORT = 6, 24
-#: One bit of each of 2 * AROUND integers goes with a key; two keys' bits may differ in CONTEXT_ERROR percent and one more.
-AROUND, CONTEXT_BIT, CONTEXT_ERROR = 32, 0, 20
+#: Integers of a group of recordings; groups (of FEW_INTS integers at least) that a smaller table is dealt to, for the cores' sake.
+CELL, GROUPS, FEW_INTS = 2_000_000, 6, 20_000
+#: Pairs of places that are compared together, and integers of an overlap between two looks at its sum.
+PIECE, STEP = 1 << 18, 16
+#: `around` takes one bit of each of 2 * AROUND integers.
+AROUND, CONTEXT_BIT = 32, 0
 #: Classes that a task remembers.
 REMEMBERED = 500_000
 #: Places of an integer in a recording beyond which its votes are counted by correlation.
@@ -197,31 +200,8 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return _prints(media.select(F.col("id").cast("long"), "audio"), lambda values: [chroma(*decode_wav(v)) for v in values])
 
 
-def _mixed(ints: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (ints * np.uint32(0x9E3779B1)) >> np.uint32(7)
-
-
-def key_places(ints: np.ndarray, shorts: bytes) -> np.ndarray:
-    """Places of the integers that are keys: those with a small mixed value, about one in THIN; all of a short recording, and
-    those that the filter `shorts` says a short one holds. No silence."""
-    mixed = _mixed(ints)
-    held = np.frombuffer(shorts, np.uint8)[mixed >> 3] >> (mixed & 7).astype(np.uint8) & 1
-    return np.flatnonzero(((mixed % THIN == 0) | (held == 1) | (len(ints) <= SHORT)) & (ints != SILENCE))
-
-
-def _shorts(prints: DataFrame) -> bytes:
-    """The filter of the integers of short recordings: of fixed size; where it is full, long recordings just give more keys."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_mixed(np.asarray(batch.column(0).flatten()).view(np.uint32)).astype(np.int64))], ["at"])
-
-    return common.place_filter(prints.where(F.size("ints").between(1, SHORT)).select("ints").mapInArrow(run, "at long"))
-
-
 def around(ints: np.ndarray) -> np.ndarray:
-    """Of each place 64 bits: one bit of each integer from AROUND places before it to AROUND - 1 after it."""
+    """Of each place 64 bits: one bit of each integer from AROUND places before it to AROUND - 1 after it. The search of links does not use it."""
     bit = np.pad((ints >> np.uint32(CONTEXT_BIT)).astype(np.uint64) & np.uint64(1), AROUND)
     out = np.zeros(len(ints), np.uint64)
     for k in range(2 * AROUND):
@@ -229,64 +209,156 @@ def around(ints: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _postings(prints: DataFrame) -> DataFrame:
-    """(v, h, at, size, ctx): key integers, their place, the recording's length and the bits around."""
-    shorts = prints.sparkSession.sparkContext.broadcast(_shorts(prints))
-
-    def run(batch: pa.RecordBatch):
-        rows = [[], [], [], [], []]
-        for h, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ints = np.asarray(x.values).view(np.uint32)
-            at = key_places(ints, shorts.value)
-            for column, value in zip(rows, (ints[at].view(np.int32), np.full(len(at), h, np.int64), at.astype(np.int32), np.full(len(at), len(ints), np.int32), around(ints)[at]), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], ["v", "h", "at", "size", "ctx"])
-
-    held = prints.where("size(ints) > 0").select("h", "ints")
-    return common.map_stream(held, lambda batches: (out for b in batches if b.num_rows for p in common.rows_of(b, 1024) for out in run(p)), "v int, h long, at int, size int, ctx long")
-
-
-def _fits(one: str, two: str) -> F.Column:
-    """Postings (structs) agree around their places, as far as both reach, in enough bits for the pair to be worth aligning."""
-    low = F.least(f"{one}.at", f"{two}.at", F.lit(AROUND))
-    high = F.least(F.col(f"{one}.size") - 1 - F.col(f"{one}.at"), F.col(f"{two}.size") - 1 - F.col(f"{two}.at"), F.lit(AROUND - 1))
-    n = low + high + 1
-    # Bits AROUND - low to AROUND + high.
-    differ = F.bit_count(F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - n), AROUND - low).bitwiseAND(F.col(f"{one}.ctx").bitwiseXOR(F.col(f"{two}.ctx"))))
-    return differ * 100 <= n * CONTEXT_ERROR + 100
-
-
-def _matched(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that align: a, b, offset, error."""
-
-    def run(batch: pa.RecordBatch):
-        rows = []
-        for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            offset, error, n = align(np.array(x, np.int32).view(np.uint32), np.array(y, np.int32).view(np.uint32))
-            if error <= ERROR and n >= min(MIN_FRAMES, len(x), len(y)):
-                rows.append((a, b, offset, error))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "offset", "error"])
-
-    # A fixed number of partitions: alignments are dear for their bytes, and merged partitions would leave cores idle.
-    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.join(prints.select(F.col("h").alias("a"), F.col("ints").alias("x")), "a").repartition(spread, "b").join(prints.select(F.col("h").alias("b"), F.col("ints").alias("y")), "b").select("a", "b", "x", "y")
-    return common.map_batches(both, run, "a long, b long, offset long, error double")
-
-
-def _links(pairs: DataFrame, prints: DataFrame, label: str) -> DataFrame:
-    """Of pairs (a, b) of classes those that align. A filter of fixed size finds their integers without a shuffle of all."""
-    held = pairs.sparkSession.sparkContext.broadcast(common.id_filter(pairs.select(F.explode(F.array("a", "b")))))
+def _paired(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for all i and all j from low[i] to before high[i], in pieces of about PIECE."""
+    n = np.maximum(high - low, 0)
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")), at + 1)
+        k = n[at:to]
+        i, j = np.repeat(np.arange(at, to), k), np.repeat(low[at:to] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        yield i, j
+        at = to
+
+
+def _close(ints: np.ndarray, two: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which of the overlaps (m integers from x and from y in `ints`; `two` holds each with its next) differ in at most ERROR of all their bits. Summing ends
+    for an overlap when its sum is beyond that, so the answer is that of the whole overlap."""
+    most = np.floor(ERROR * 32 * m + 1e-6).astype(np.int64)
+    live, errors, out = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = 0
+    while len(live):
+        full = m[live] >= at + STEP
+        for some in (live[full], live[~full]):
+            a, b, e = x[some] + at, y[some] + at, errors[some]
+            if len(some) and m[some[0]] >= at + STEP:
+                for k in range(0, STEP, 2):
+                    e += np.bitwise_count(two[a + k] ^ two[b + k])
+            else:
+                for k in range(STEP):
+                    inside = np.flatnonzero(m[some] > at + k)
+                    e[inside] += np.bitwise_count(ints[a[inside] + k] ^ ints[b[inside] + k])
+            errors[some] = e
+        at += STEP
+        live = live[errors[live] <= most[live]]
+        out[live[m[live] <= at]] = True
+        live = live[m[live] > at]
+    return out
 
-    def run(batches):
-        for batch in batches:
-            yield common.passing(batch, 2, held.value).select(["h", "ints"])
 
-    some = prints.where("size(ints) > 0").select("h", "ints", common.filter_place("h")).mapInArrow(run, "h long, ints array<int>")
-    some = common.written(some.dropDuplicates(["h"]), f"{label}-ints")
-    links = common.written(_matched(pairs, some).select("a", "b"), label)
-    common.drop_written(some)
+def cell_links(ints: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Of recordings of one side, or of two sides, the links (places in the list) that connect all those that align and are
+    of different sides, if there are two. Every pair of places with equal integers (not silence) tells an offset whose whole overlap is
+    compared; what passes is aligned. First each place meets the longest recording of its integer, then what that has not
+    connected meets pairwise."""
+    sizes = np.array([len(x) for x in ints], np.int64)
+    flat = np.concatenate([*ints, np.zeros(0, np.uint32)])
+    start = np.cumsum(sizes) - sizes
+    rec = np.repeat(np.arange(len(ints)), sizes)
+    two = flat[:-1] | flat[1:].astype(np.uint64) << np.uint64(32)
+    quiet = np.bincount(rec[flat == SILENCE], minlength=len(ints)) > 0
+    root, found = np.arange(len(ints)), []
+    two_sided = len(np.unique(side)) > 1
+
+    def decide(a: np.ndarray, b: np.ndarray) -> None:
+        """Align pairs that are not connected, and connect them."""
+        nonlocal root
+        up: dict[int, int] = {}
+
+        def top(i: int) -> int:
+            i = int(root[i])
+            while i in up:
+                i = up[i]
+            return i
+
+        for pair in np.unique(np.minimum(a, b) * len(ints) + np.maximum(a, b)).tolist():
+            i, j = divmod(pair, len(ints))
+            x, y = top(i), top(j)
+            if x != y:
+                _, error, n = align(ints[i], ints[j])
+                if error <= ERROR and n >= min(MIN_FRAMES, len(ints[i]), len(ints[j])):
+                    up[max(x, y)] = min(x, y)
+                    found.append((i, j))
+        if up:
+            root = np.array([top(i) for i in range(len(ints))])
+
+    def meet(x: np.ndarray, y: np.ndarray) -> None:
+        """Compare the overlaps that bring places x and y (in flat) together."""
+        a, b = rec[x], rec[y]
+        ok = root[a] != root[b]
+        x, y, a, b = x[ok], y[ok], a[ok], b[ok]
+        before = np.minimum(x - start[a], y - start[b])
+        m = before + np.minimum(start[a] + sizes[a] - x, start[b] + sizes[b] - y)
+        ok = np.flatnonzero(m >= np.minimum(np.minimum(sizes[a], sizes[b]), MIN_FRAMES))
+        # The peak of two that hold silence may be one of silence's votes, which are no places here: they are aligned at once.
+        at_peak = _close(flat, two, (x - before)[ok], (y - before)[ok], m[ok])
+        passed = quiet[a] & quiet[b]
+        passed[ok[at_peak]] = True
+        decide(a[passed], b[passed])
+
+    # Values of which a recording holds MANY places and more (held tones, silence) name pairs, not pairs of places.
+    values, value = np.unique(flat, return_inverse=True)
+    owned, counts = np.unique(value * len(ints) + rec, return_counts=True)
+    held = np.unique(owned[counts > MANY] // max(len(ints), 1))
+    for w in held[values[held] != SILENCE]:
+        holders = owned[np.searchsorted(owned, w * len(ints)) : np.searchsorted(owned, (w + 1) * len(ints))] - w * len(ints)
+        for k, i in enumerate(holders):
+            others = holders[k + 1 :]
+            others = others[(root[others] != root[i]) & ((side[others] != side[i]) | (not two_sided))]
+            decide(np.full(len(others), i), others)
+    del owned, counts
+    # Places in order of their values; of values that one recording (or one side) alone holds, none.
+    lone = np.isin(np.arange(len(values)), held) | (values == SILENCE)
+    mark = side[rec] if two_sided else rec
+    least, most = np.full(len(values), np.iinfo(np.int64).max), np.full(len(values), -1)
+    np.minimum.at(least, value, mark)
+    np.maximum.at(most, value, mark)
+    places = np.flatnonzero(((least < most) & ~lone)[value])
+    left, right = (places[side[rec[places]] == s] for s in np.unique(side)[[0, -1]]) if two_sided else (places, places)
+    for one, other in ((left, right), (right, left))[: 1 + two_sided]:
+        longest = other[np.lexsort((sizes[rec[other]], value[other]))]
+        head = longest[np.searchsorted(value[longest], value[one], "right") - 1] if len(one) else one
+        for at in range(0, len(one), PIECE):
+            meet(one[at : at + PIECE], head[at : at + PIECE])
+    by = lambda at: value[at] * len(ints) + root[rec[at]]
+    left, right = left[np.argsort(by(left))], right[np.argsort(by(right))]
+    one, other = by(left), by(right)
+    whole = value[left] * len(ints)
+    ranges = [(np.searchsorted(other, one, "right"), np.searchsorted(other, whole + len(ints)))]
+    if two_sided:
+        ranges.append((np.searchsorted(other, whole), np.searchsorted(other, one)))
+    for low, high in ranges:
+        for i, j in _paired(low, high):
+            meet(left[i], right[j])
+    return found
+
+
+def _links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of classes that connect all those that align. Recordings are dealt to groups of about CELL integers, and every
+    pair of groups is one cell, so every pair of recordings meets in exactly one cell, and a cell's size does not grow with the table."""
+    held = prints.where("size(ints) > 0").select("h", "ints").dropDuplicates(["h"])
+    held = common.written(held, "media-classes", compression="zstd")
+    total = held.agg(F.sum(F.size("ints")).alias("n")).first()["n"] or 0
+    groups = max(-(-total // CELL), min(GROUPS, -(-total // FEW_INTS)), 1)
+    own = held.withColumn("g", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(groups)).cast("int"))
+    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("h", "ints", "g", (F.least("g", "o") * groups + F.greatest("g", "o")).alias("cell"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        column = cell.column("ints").combine_chunks()
+        edges, flat = np.asarray(column.offsets), np.asarray(column.values).view(np.uint32)
+        h, g = np.asarray(cell.column("h")), np.asarray(cell.column("g"))
+        # A cell of two groups of which one is empty has nothing to do: pairs of one group meet in that group's own cell.
+        two = int(cell.column("cell")[0].as_py()) // groups != int(cell.column("cell")[0].as_py()) % groups
+        links = [] if two and len(np.unique(g)) < 2 else cell_links([flat[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)], g)
+        a, b = (np.array([h[x[k]] for x in links], np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    # A fixed number of partitions: comparisons are dear for their bytes, and merged partitions would leave cores idle.
+    links = dealt.repartition(groups * (groups + 1) // 2, "cell").groupBy("cell").applyInArrow(run, "a long, b long")
+    links = common.written(links, "media-links")
+    common.drop_written(held)
     return links
 
 
@@ -295,25 +367,10 @@ def align_prints(made: DataFrame) -> DataFrame:
 
     class_id is the smallest id with the same fingerprint, group_id the smallest id that links reach.
     """
-    prints = common.written(made, "media-prints")
-    same = Window.partitionBy("v")
-    row = F.struct("size", "h", "at", "ctx")
-    met = _postings(prints).withColumns({"p": F.max(row).over(same), "x": F.min("h").over(same), "y": F.max("h").over(same)}).where("x < y")
-    blocks = common.written(met.select("v", row.alias("m"), "p"), "media-blocks")
-    # The longest recording of a block is its head: parts of it link to it.
-    stars = blocks.where("m.h <> p.h").where(_fits("m", "p")).select(F.least("m.h", "p.h").alias("a"), F.greatest("m.h", "p.h").alias("b")).distinct()
-    stars = common.written(stars, "media-stars")
-    links = _links(stars, prints, "media-links")
-    found = common.components(links, "media-first")
-    placed = blocks.select("v", "m").withColumn("h", F.col("m.h")).join(found.select(F.col("node").alias("h"), F.col("component").alias("c")), "h", "left").select("v", "m", F.coalesce("c", "h").alias("c"))
-    open_ = placed.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("v")
-    rest = common.written(placed.join(open_, "v", "left_semi"), "media-open")
-    one, two = (rest.select("v", F.col("m").alias(f"m{k}"), F.col("c").alias(f"c{k}")) for k in (1, 2))
-    cross = one.join(two, "v").where("m1.h < m2.h and c1 <> c2").where(_fits("m1", "m2")).select(F.col("m1.h").alias("a"), F.col("m2.h").alias("b")).distinct()
-    cross = common.written(cross.join(stars, ["a", "b"], "left_anti"), "media-cross")
-    if not cross.isEmpty():
-        found = common.components(links.unionByName(_links(cross, prints, "media-more")), "media-all")
-    common.drop_written(blocks, stars, rest, cross)
+    prints = common.written(made, "media-prints", compression="zstd")
+    links = _links(prints)
+    found = common.components(links, "media-all")
+    common.drop_written(links)
 
     least = prints.where("n_ints > 0 and id is not null").groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     least = least.join(found.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("c", F.coalesce("component", "h"))
