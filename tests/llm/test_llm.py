@@ -331,6 +331,25 @@ def test_line_dedup_keeps_texts_of_one_id_apart(spark):
     assert left == [(0, "gamma delta"), (0, "only here"), (1, "alpha beta"), (5, "my own first line"), (5, "unique line here"), (5, "unique line here")]
 
 
+def test_line_dedup_meets_lines_that_share_one_frequent_shingle_alone(spark):
+    rng = random.Random(24)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(12))
+    start = [word() for _ in range(3)]
+    texts = [" ".join([*start, *(word() for _ in range(rng.randint(2, 7)))]) for _ in range(150)]
+    for _ in range(20):
+        rest = [word() for _ in range(4)]
+        texts += [" ".join([*start, *rest]), " ".join([*start, *("z" + w[1:] for w in rest)])]
+    gone = {r["doc_id"]: r["dropped"] for r in line_dedup.dropped_lines(docs(spark, texts)).collect()}
+    assert {k for k, v in gone.items() if v} == set(range(151, 190, 2))
+
+
+def test_line_dedup_bands_keep_alike_lengths_together(spark):
+    sizes = sorted({*range(1, 60), *range(1700, 2500), *range(2600, 9000, 37)})
+    rows = spark.createDataFrame([(n,) for n in sizes], "l int").selectExpr("l", f"{line_dedup._band('l')} as band")
+    two = rows.alias("x").join(rows.alias("y"), F.expr(f"x.l <= y.l and {line_dedup._alike('x.l', 'y.l')}"))
+    assert two.where("y.band - x.band not in (0, 1)").isEmpty() and two.where("y.band = x.band + 1").count() > 1000
+
+
 def test_line_dedup_compares_very_long_lines_by_words(spark):
     rng = random.Random(19)
     words = [f"word{rng.randrange(5000)}" for _ in range(1500)]
