@@ -343,6 +343,16 @@ def test_line_dedup_meets_lines_that_share_one_frequent_shingle_alone(spark):
     assert {k for k, v in gone.items() if v} == set(range(151, 190, 2))
 
 
+def test_line_dedup_makes_each_pair_once(spark):
+    rng = random.Random(25)
+    rows = sorted({(rng.randrange(12), rng.randrange(40), rng.random() < 0.6) for _ in range(300)})  # a node may be own and guest under different keys
+    rows = list({(key, h): (key, h, own) for key, h, own in rows}.values())
+    rest = spark.createDataFrame([(key, h, 50, own, h // 3, None, None) for key, h, own in rows], "key long, h long, l int, own boolean, c long, sim long, n long")
+    got = sorted((r["a"], r["b"]) for r in line_dedup._crossing(line_dedup._once(rest)).collect())
+    meetings = [(a, b) for key, a, x in rows for other, b, y in rows if key == other and a < b and a // 3 != b // 3 and (x or y)]
+    assert got == sorted(set(meetings)) and len(meetings) > 1.5 * len(got) > 100
+
+
 def test_line_dedup_bands_keep_alike_lengths_together(spark):
     sizes = sorted({*range(1, 60), *range(1700, 2500), *range(2600, 9000, 37)})
     rows = spark.createDataFrame([(n,) for n in sizes], "l int").selectExpr("l", f"{line_dedup._band('l')} as band")
