@@ -581,6 +581,27 @@ def test_media_cells_find_every_link():
         assert all(two[a] != two[b] for a, b in got) and components_of(len(prints), got) == linked(prints, two)
 
 
+def test_media_compares_two_places_once(monkeypatch):
+    rng = np.random.default_rng(26)
+    prints = [rng.integers(0, 1 << 32, 40, dtype=np.uint32) for _ in range(20)]
+    for a in range(0, 20, 2):  # one integer by chance, in two that do not align
+        prints[a + 1][7] = prints[a][20]
+    compared, close = [], media._close
+    monkeypatch.setattr(media, "_close", lambda *args: compared.append(len(args[-1])) or close(*args))
+    for side in (np.arange(20) % 2, np.zeros(20, int)):
+        compared.clear()
+        assert media.cell_links(prints, side) == [] and sum(compared) == 10
+
+
+def test_media_sums_are_those_of_whole_overlaps():
+    rng = np.random.default_rng(27)
+    ints = rng.integers(0, 1 << 32, 600, dtype=np.uint32)
+    ints[300:] = ints[:300] ^ (np.uint32(1) << rng.integers(0, 32, 300).astype(np.uint32)) ^ np.where(rng.random(300) < 0.27, rng.integers(0, 1 << 32, 300), 0).astype(np.uint32)
+    x, m = rng.integers(0, 200, 3000), rng.integers(1, 100, 3000)
+    want = [np.bitwise_count(ints[a : a + k] ^ ints[300 + a : 300 + a + k]).sum() <= media.ERROR * 32 * k + 1e-6 for a, k in zip(x, m, strict=True)]
+    assert media._close(media._rows(ints), x, x + 300, m).tolist() == want and 300 < sum(want) < 2700
+
+
 def test_media_groups_do_not_depend_on_cells(spark, monkeypatch):
     rng = np.random.default_rng(23)
     base = rng.integers(0, 1 << 32, 300, dtype=np.uint32)

@@ -9,7 +9,7 @@ the share of bits that differ over the overlap decides.
 Equal fingerprints are one class from the start. Different ones are candidates if they share any integer but silence's: recordings are dealt
 to groups, every two groups are a cell, and in a cell every two places with equal integers are met. They tell an offset, and the
 overlap there is compared whole (the sum ends early where it is too large already). What passes is aligned, and what links
-connect already is not compared again. So the groups are those of an aligner of all pairs that share a sound. The work is that of all pairs of places
+connect already is not compared again, nor are two places that have met. So the groups are those of an aligner of all pairs that share a sound. The work is that of all pairs of places
 with equal integers, which grows with the square of the table where integers agree by chance.
 
 Cases: null, empty or undecodable values have no frames, no fingerprint and a group of their own (their id).
@@ -44,6 +44,9 @@ ERROR, MIN_FRAMES = 0.15, 12
 CELL, GROUPS, FEW_INTS = 2_000_000, 6, 20_000
 #: Pairs of places that are compared together, and integers of an overlap between two looks at its sum.
 PIECE, STEP = 1 << 18, 16
+#: Masks that leave the first 0, 1, ... of STEP integers, and the constants that add eight bytes.
+_ENDS = np.where(np.arange(STEP) < np.arange(STEP)[:, None], np.uint32(0xFFFFFFFF), np.uint32(0)).view(np.uint64)
+_EVEN, _ADD = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
 #: `around` takes one bit of each of 2 * AROUND integers.
 AROUND, CONTEXT_BIT = 32, 0
 #: Classes that a task remembers.
@@ -222,24 +225,27 @@ def _paired(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         at = to
 
 
-def _close(ints: np.ndarray, two: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Which of the overlaps (m integers from x and from y in `ints`; `two` holds each with its next) differ in at most ERROR of all their bits. Summing ends
+def _rows(ints: np.ndarray) -> np.ndarray:
+    """Of each place the STEP integers from there on, zeros behind the last one, as one value: comparing reads a place's memory once."""
+    padded = np.concatenate([ints, np.zeros(STEP, np.uint32)])
+    return np.ndarray(len(ints) + 1, f"V{4 * STEP}", padded, strides=(4,))
+
+
+def _close(rows: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which of the overlaps (m integers from x and from y in the integers of `rows`) differ in at most ERROR of all their bits. Summing ends
     for an overlap when its sum is beyond that, so the answer is that of the whole overlap."""
     most = np.floor(ERROR * 32 * m + 1e-6).astype(np.int64)
     live, errors, out = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), bool)
     at = 0
     while len(live):
-        full = m[live] >= at + STEP
-        for some in (live[full], live[~full]):
-            a, b, e = x[some] + at, y[some] + at, errors[some]
-            if len(some) and m[some[0]] >= at + STEP:
-                for k in range(0, STEP, 2):
-                    e += np.bitwise_count(two[a + k] ^ two[b + k])
-            else:
-                for k in range(STEP):
-                    inside = np.flatnonzero(m[some] > at + k)
-                    e[inside] += np.bitwise_count(ints[a[inside] + k] ^ ints[b[inside] + k])
-            errors[some] = e
+        differ = (rows[x[live] + at].view(np.uint64) ^ rows[y[live] + at].view(np.uint64)).reshape(-1, STEP // 2)
+        left = m[live] - at
+        last = np.flatnonzero(left < STEP)
+        differ[last] &= _ENDS[left[last]]
+        # Sums of eight counts of at most 64: by twos, then the four of them in the top 16 bits of a product.
+        count = np.bitwise_count(differ).view(np.uint64)
+        count = ((count & _EVEN) + (count >> np.uint64(8) & _EVEN)) * _ADD >> np.uint64(48)
+        errors[live] += count.reshape(len(live), -1).sum(axis=1).astype(np.int64)
         at += STEP
         live = live[errors[live] <= most[live]]
         out[live[m[live] <= at]] = True
@@ -256,7 +262,7 @@ def cell_links(ints: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]
     flat = np.concatenate([*ints, np.zeros(0, np.uint32)])
     start = np.cumsum(sizes) - sizes
     rec = np.repeat(np.arange(len(ints)), sizes)
-    two = flat[:-1] | flat[1:].astype(np.uint64) << np.uint64(32)
+    rows = _rows(flat)
     quiet = np.bincount(rec[flat == SILENCE], minlength=len(ints)) > 0
     root, found = np.arange(len(ints)), []
     two_sided = len(np.unique(side)) > 1
@@ -281,7 +287,9 @@ def cell_links(ints: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]
                     up[max(x, y)] = min(x, y)
                     found.append((i, j))
         if up:
-            root = np.array([top(i) for i in range(len(ints))])
+            now = np.arange(len(ints))
+            now[list(up)] = [top(i) for i in up]
+            root = now[root]
 
     def meet(x: np.ndarray, y: np.ndarray) -> None:
         """Compare the overlaps that bring places x and y (in flat) together."""
@@ -292,7 +300,7 @@ def cell_links(ints: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]
         m = before + np.minimum(start[a] + sizes[a] - x, start[b] + sizes[b] - y)
         ok = np.flatnonzero(m >= np.minimum(np.minimum(sizes[a], sizes[b]), MIN_FRAMES))
         # The peak of two that hold silence may be one of silence's votes, which are no places here: they are aligned at once.
-        at_peak = _close(flat, two, (x - before)[ok], (y - before)[ok], m[ok])
+        at_peak = _close(rows, (x - before)[ok], (y - before)[ok], m[ok])
         passed = quiet[a] & quiet[b]
         passed[ok[at_peak]] = True
         decide(a[passed], b[passed])
@@ -316,11 +324,15 @@ def cell_links(ints: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]
     np.maximum.at(most, value, mark)
     places = np.flatnonzero(((least < most) & ~lone)[value])
     left, right = (places[side[rec[places]] == s] for s in np.unique(side)[[0, -1]]) if two_sided else (places, places)
+    met = np.full(len(flat), -1)  # the longest one that a place has met: what was compared once is not compared again
     for one, other in ((left, right), (right, left))[: 1 + two_sided]:
         longest = other[np.lexsort((sizes[rec[other]], value[other]))]
         head = longest[np.searchsorted(value[longest], value[one], "right") - 1] if len(one) else one
+        new = met[head] != one
         for at in range(0, len(one), PIECE):
-            meet(one[at : at + PIECE], head[at : at + PIECE])
+            some = np.flatnonzero(new[at : at + PIECE]) + at
+            meet(one[some], head[some])
+        met[one] = head
     by = lambda at: value[at] * len(ints) + root[rec[at]]
     left, right = left[np.argsort(by(left))], right[np.argsort(by(right))]
     one, other = by(left), by(right)
@@ -330,7 +342,9 @@ def cell_links(ints: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]
         ranges.append((np.searchsorted(other, whole), np.searchsorted(other, one)))
     for low, high in ranges:
         for i, j in _paired(low, high):
-            meet(left[i], right[j])
+            x, y = left[i], right[j]
+            new = (met[x] != y) & (met[y] != x)
+            meet(x[new], y[new])
     return found
 
 
