@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out labels on small inputs."""
 
+import os
 import random
 import zlib
 
@@ -353,6 +354,39 @@ def test_line_dedup_makes_each_pair_once(spark):
     assert got == sorted(set(meetings)) and len(meetings) > 1.5 * len(got) > 100
 
 
+def test_line_dedup_drops_the_lines_before_pairs_are_made(spark, monkeypatch):
+    rng = random.Random(26)
+    base = [f"w{rng.randrange(50)}" for _ in range(12)]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(12)]
+    made, write = {}, common.written
+
+    def written(df, label, **options):
+        if label == "line-pairs":
+            assert not [x for x in made if "norm" in made[x].columns and x != "line-texts" and os.path.isdir(made[x].path)]
+        made[label] = write(df, label, **options)
+        made[label].path = made[label].inputFiles()[0].removeprefix("file://").rpartition("/")[0] if label == "line-lines" or "norm" in df.columns else ""
+        assert not {"words", "keys"} & {*df.columns}
+        return made[label]
+
+    monkeypatch.setattr(common, "written", written)
+    assert sum(len(r["dropped"]) for r in line_dedup.dropped_lines(docs(spark, texts)).collect()) > 0 and "line-pairs" in made
+
+
+def test_line_dedup_proves_links_by_parts_only_where_the_distance_does(spark):
+    rng = random.Random(27)
+    rows = []
+    for k in range(300):
+        x = "".join(rng.choice("abcdef") if k % 3 else rng.choice("ab") for _ in range(rng.randint(1, 240)))
+        y = list(x)
+        for _ in range(rng.randint(0, 1 + len(x) // 4)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", "z", "ab", x[:9]])
+        rows.append((x, "".join(y), distance(x, "".join(y))))
+    got = spark.createDataFrame(rows, "x string, y string, d int").selectExpr("*", "cast(floor(greatest(length(x), length(y)) * 0.15D + 1e-9D) as int) as most")
+    got = got.selectExpr("d", "most", line_dedup._let("s", "named_struct('x', x, 'y', y)", line_dedup._by_parts("s")) + " as proved").collect()
+    assert all(r["d"] <= r["most"] for r in got if r["proved"]) and sum(r["proved"] for r in got) > 30
+
+
 def test_line_dedup_bands_keep_alike_lengths_together(spark):
     sizes = sorted({*range(1, 60), *range(1700, 2500), *range(2600, 9000, 37)})
     rows = spark.createDataFrame([(n,) for n in sizes], "l int").selectExpr("l", f"{line_dedup._band('l')} as band")
